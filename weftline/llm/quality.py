@@ -15,15 +15,16 @@ are scored as such; repeated rows are each scored; with no positive every score
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from weftline.llm.common import fold, spread_sample
-from weftline.llm.toxicity import _arrow_udf
 
 #: Trusted positives, and unlabelled documents, that the model is fitted on.
 POSITIVES, UNLABELLED = 3000, 6000
@@ -94,8 +95,8 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-def _batches(column: pa.Array) -> np.ndarray:
-    return np.stack([features(t) for t in column.to_pylist()]) if len(column) else np.zeros((0, N_FEATURES), np.float32)
+def _stack(texts: Iterable[str | None]) -> np.ndarray:
+    return np.array([features(t) for t in texts], np.float32).reshape(-1, N_FEATURES)
 
 
 class Network:
@@ -188,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([x.tobytes() for x in _batches(batch.column(1))], pa.binary())
+            found = pa.array([x.tobytes() for x in _stack(batch.column(1).to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["trusted", "found"])
 
     good = labels.filter((F.col("quality") == 1) & (fold("doc_id", 5) != 0)).select("doc_id").distinct()
@@ -204,12 +205,13 @@ def score(docs: DataFrame, network: Network | None) -> DataFrame:
     """Every row of docs with ``score`` (0 to 1) in place of columns of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(network)  # of fixed size
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
         for texts in batches:
-            yield pa.array(np.full(len(texts), 0.5) if own is None or not len(texts) else own.score(_batches(texts)), pa.float64())
+            yield pd.Series(np.full(len(texts), 0.5) if own is None or not len(texts) else own.score(_stack(texts)))
 
-    return docs.withColumn("score", _arrow_udf(run)("text"))
+    return docs.withColumn("score", run("text"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:

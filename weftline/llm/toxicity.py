@@ -3,7 +3,7 @@
 Features are the distinct hashed 3- to 6-character n-grams of the lower-cased text,
 white space runs as one space. Over the labelled sample, r = log of the ratio of a
 feature's smoothed share among toxic and among other documents; a logistic regression
-on the features times r gives the weights, drawn towards their common mean as in
+on the features times r, where r is significant, gives the weights, drawn towards their common mean as in
 interpolated NB-SVM. Both classes are sampled to one bound, and the intercept is set
 back to the classes' true shares.
 
@@ -18,9 +18,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from weftline.llm.common import fold, spread_sample
 
@@ -28,9 +30,9 @@ ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 20
 #: Labelled rows of either class that the model is fitted on.
 SAMPLE = 2000
-#: Documents a feature needs in the sample, and the least |r| that is kept.
-LEAST_DOCS, LEAST_RATIO = 4, 0.4
-SMOOTHING, INTERPOLATION, PENALTY, STEPS = 0.5, 0.25, 2e-3, 150
+#: Documents a feature needs in the sample, and the least |r| that is kept, in standard errors of r.
+LEAST_DOCS, LEAST_ERRORS = 4, 3.0
+SMOOTHING, INTERPOLATION, PENALTY, STEPS = 0.5, 0.1, 0.2, 400
 _SPACES = re.compile(r"\s+")
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,12 +79,12 @@ def fit(sets: list[np.ndarray], labels: list[int], toxic_share: float) -> Model:
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(1 << BUCKET_BITS), prior)
     flat, lens = np.concatenate(sets), np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), lens)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), lens)
     with_label = np.bincount(flat, weights=y[owner], minlength=1 << BUCKET_BITS)
     count = np.bincount(flat, minlength=1 << BUCKET_BITS)
     p, q = with_label + SMOOTHING, count - with_label + SMOOTHING
     ratio = np.log(p / (y.sum() + 2 * SMOOTHING)) - np.log(q / (len(y) - y.sum() + 2 * SMOOTHING))
-    ratio[(count < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    ratio[(count < LEAST_DOCS) | (np.abs(ratio) < LEAST_ERRORS * np.sqrt(1 / p + 1 / q))] = 0
     keep = ratio[flat] != 0
     used, index = np.unique(flat[keep], return_inverse=True)
     if not len(used):
@@ -111,13 +113,13 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(buckets(t)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
+            sets = [np.unique(buckets(t)).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["label", "found"])
 
     train_rows = labels.filter(F.col("toxic").isin(0, 1) & (fold("doc_id", 5) != 0))
     n, toxic = train_rows.agg(F.count("toxic"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rows = labelled_sample(docs, labels, "toxic", bound).select("label", "text").mapInArrow(run, "label int, found binary").collect()
-    sets = [np.frombuffer(r.found, "<u4").astype(np.int64) for r in rows]
+    sets = [np.frombuffer(r.found, "<i4") for r in rows]
     return fit(sets, [r.label for r in rows], min(max((toxic + 0.5) / (n + 1), 1e-4), 1 - 1e-4))
 
 
@@ -125,25 +127,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Every row of docs with ``score`` (0 to 1) in place of columns of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: a weight a bucket
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = shared.value
-        for texts in batches:
-            yield pa.array([own.score(t) for t in texts.to_pylist()], pa.float64())
-
-    return docs.withColumn("score", _arrow_udf(run)("text"))
-
-
-def _arrow_udf(run):
-    """An Arrow UDF over batches of one column that gives doubles."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = shared.value
         for texts in batches:
-            yield pd.Series(next(run(iter([pa.array(texts, pa.string(), from_pandas=True)]))).to_numpy(zero_copy_only=False))
+            yield pd.Series([own.score(t) for t in texts], dtype="float64")
 
-    return scored
+    return docs.withColumn("score", run("text"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
