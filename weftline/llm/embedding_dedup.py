@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,9 +133,7 @@ def _confirm(similarity: float):
 def _count(similarity: float):
     """Counts links in blocks (component, i, j, id, slot, copies, vector): (id, links) for each member with any, copies counted."""
 
-    def run(key: tuple, rows):
-        import pandas as pd
-
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for size in sorted({len(v) for v in rows["vector"]}):
             same = rows[rows["vector"].map(len) == size]
