@@ -1 +1 @@
-
+"""Document-processing operators: DataFrame in, DataFrame out."""

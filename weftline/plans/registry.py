@@ -1,17 +1,422 @@
-"""Query registry of the document-processing operators."""
+"""Query registry of the document-processing operators, with DuckDB SQL where it can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions import hashing as H
+from weftline.functions import text as T
+from weftline.operators import assembly, coverage, evaluate, glossary, orphans, reconcile, reconstruct, translate
+from weftline.operators import segments as S
+from weftline.plans import inputs
+from weftline.streaming import events as E
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql.strip()
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- SQL shared by the oracles -----------------------------------------------------------
+
+_ABBR = "|".join(a.replace(".", "[.]") for a in T.ABBREVIATIONS)
+#: Abbreviations' stops are hidden, sentence ends become chr(1), and the stops come back. Twice, as neighbours share a character.
+_MASKED = f"regexp_replace(regexp_replace({{0}}, '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}])((?i:{_ABBR}))[.]', '\\1\\2' || chr(2), 'g'), '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}])((?i:{_ABBR}))[.]', '\\1\\2' || chr(2), 'g')"
+_PIECES = "string_split(regexp_replace(regexp_replace(" + _MASKED + ", '([.!?])\\s+(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g'), '([.!?])\\s+(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+_SENTENCES = "list_filter(list_transform(" + _PIECES.format("line") + ", lambda x: trim(replace(x, chr(2), '.'), ' ' || chr(9) || chr(13))), lambda x: x <> '')"
+
+_LINES = """
+lines AS (SELECT doc_id AS path, i - 1 AS block_idx, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) t(i))"""
+_SEG = (
+    "WITH"
+    + _LINES
+    + ", cut AS (SELECT path, block_idx, "
+    + _SENTENCES
+    + """ AS s FROM lines WHERE trim(line) <> ''),
+seg AS (SELECT path, block_idx, i - 1 AS seg_idx, s[i] AS source, md5(s[i]) AS h, block_idx * 1000000 + i - 1 AS seq FROM cut, unnest(range(1, len(s) + 1)) t(i))"""
+)
+_MATCH = (
+    _SEG
+    + """, old AS (SELECT *, path * 31 + block_idx * 7 + seg_idx AS k FROM seg WHERE (path * 31 + block_idx * 7 + seg_idx) % 7 <> 0)"""
+)
+
+
+# --- text ----------------------------------------------------------------------------------
+
+
+@query(_SEG + " SELECT path, block_idx, seg_idx, source FROM seg")
+def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.segments(spark, sf_dir).select("path", "block_idx", "seg_idx", "source")
+
+
+@query(_SEG + " SELECT path, block_idx, seg_idx, 'section:0/block:' || block_idx || '/seg:' || seg_idx AS segment_id, block_idx * 1000 + seg_idx AS flat_index, block_idx AS block_again FROM seg")
+def segment_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.segments(spark, sf_dir)
+    ident = F.col("segment_id")
+    return rows.select("path", "block_idx", "seg_idx", "segment_id", T.flat_index(ident).alias("flat_index"), T.segment_position(ident)["block"].alias("block_again"))
+
+
+@query(_SEG + " SELECT path, seq, coalesce(lag(h) OVER w, '') || ':' || coalesce(lead(h) OVER w, '') AS around FROM seg WINDOW w AS (PARTITION BY path ORDER BY seq)")
+def context_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours' content by md5, which both engines have; the operator itself hashes the pair."""
+    before, after = H.neighbours(F.md5("source"))
+    none = F.lit("")
+    return inputs.segments(spark, sf_dir).select("path", "seq", F.concat(F.coalesce(before, none), F.lit(":"), F.coalesce(after, none)).alias("around"))
+
+
+@query(_SEG + " SELECT h, count(*) AS n, min(path) AS first_path FROM seg GROUP BY h")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.segments(spark, sf_dir).groupBy("source_hash").agg(F.md5(F.first("source")).alias("h"), F.count("path").alias("n"), F.min("path").alias("first_path"))
+    return rows.select("h", "n", "first_path")
+
+
+@query("SELECT doc_id AS path, rtrim(string_split(text, chr(10))[1], ' ') || CASE WHEN len(r) > 0 THEN ' ' || array_to_string(r, ' ') ELSE '' END AS joined FROM (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10))[2:], lambda x: rtrim(regexp_replace(x, '^[>\\s]+', ''), ' ')), lambda x: x <> '') AS r FROM documents)")
+def normalize_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.files(spark, sf_dir).select("path", T.normalize_inline(F.col("source")).alias("joined"))
+
+
+@query("WITH t AS (SELECT doc_id AS path, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS x FROM documents) SELECT path, CASE WHEN length(x) > 60 THEN substr(x, 1, 60) || '…' ELSE x END AS shown FROM t")
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.files(spark, sf_dir).select("path", T.preview(F.col("source"), 60).alias("shown"))
+
+
+@query("SELECT page_id AS path, array_to_string(list_transform(regexp_extract_all(html, 'https?://[^\\s<>\"()]*'), lambda u: regexp_replace(u, '[.,;]+$', '')), ' ') AS urls FROM pages")
+def extract_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.array_join(T.extract_urls(F.col("html")), " ").alias("urls"))
+
+
+@query("SELECT page_id AS path, regexp_replace(html, '\\{[A-Za-z][^}]*\\}', '', 'g') = html AS unchanged, length(regexp_replace(html, '\\{[A-Za-z][^}]*\\}', '', 'g')) AS n FROM pages")
+def strip_role_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = T.strip_role_headers(F.col("html"))
+    return inputs.table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), (plain == F.col("html")).alias("unchanged"), F.length(plain).cast("long").alias("n"))
+
+
+@query("SELECT page_id AS path, regexp_replace(regexp_replace(lower(regexp_replace(url, '\\{[^}]*\\}', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")
+def heading_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), T.heading_slug(F.col("url")).alias("slug"))
+
+
+@query("SELECT c_custkey AS path, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(c_name, '([a-z0-9])([A-Z])', '\\1-\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1-\\2', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM customer")
+def file_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), T.file_slug(F.col("c_name")).alias("slug"))
+
+
+@query("SELECT doc_id AS path, length(text) + length(regexp_replace(text, '[^\\x{1100}-\\x{115F}\\x{2E80}-\\x{303E}\\x{3041}-\\x{4DBF}\\x{4E00}-\\x{A4CF}\\x{AC00}-\\x{D7A3}\\x{F900}-\\x{FAFF}\\x{FE30}-\\x{FE4F}\\x{FF00}-\\x{FF60}\\x{FFE0}-\\x{FFE6}\\x{1F300}-\\x{1FAFF}\\x{20000}-\\x{3FFFD}]', '', 'g')) AS width FROM documents")
+def display_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.files(spark, sf_dir).select("path", T.display_width(F.col("source")).cast("long").alias("width"))
+
+
+# --- matching and status -------------------------------------------------------------------
+
+
+@query(
+    _MATCH
+    + """, n AS (SELECT path, h, min(seq) AS seq, count(*) AS c FROM seg GROUP BY ALL),
+o AS (SELECT path, h, min(seq) AS pos, count(*) AS c FROM old GROUP BY ALL)
+SELECT n.path, n.h, n.c AS new_rows, coalesce(o.c, 0) AS old_rows, least(n.c, coalesce(o.c, 0)) AS matched FROM n LEFT JOIN o USING (path, h)"""
+)
+def reconcile_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each hash match: as many as the side with fewer has."""
+    rows = inputs.segments(spark, sf_dir)
+    found = reconcile.reconcile(rows, inputs.state(rows))
+    old = inputs.state(rows).groupBy("path", "source_hash").agg(F.count("pos").alias("old_rows"))
+    new = found.groupBy("path", "source_hash").agg(F.md5(F.first("source")).alias("h"), F.count("seq").alias("new_rows"), F.count_if("matched").alias("matched"))
+    return new.join(old, ["path", "source_hash"], "left").select("path", "h", "new_rows", F.coalesce("old_rows", F.lit(0)).alias("old_rows"), "matched")
+
+
+_UNIQUE = _MATCH + """, one AS (SELECT path, h FROM seg GROUP BY ALL HAVING count(*) = 1),
+st AS (SELECT s.path, s.seq, s.source, CASE WHEN o.path IS NULL OR o.k % 5 = 0 THEN 'Pending' WHEN o.k % 11 = 0 THEN 'ContextChanged' ELSE 'Translated' END AS status
+  FROM seg s JOIN one USING (path, h) LEFT JOIN old o ON o.path = s.path AND o.seq = s.seq)"""
+
+
+def _status(spark: SparkSession, sf_dir: str, terms=()) -> DataFrame:
+    rows = inputs.segments(spark, sf_dir)
+    return reconcile.reconcile_status(rows, inputs.state(rows), inputs.glossary(spark, terms))
+
+
+def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of the segments whose text occurs once in their file."""
+    rows = _status(spark, sf_dir)
+    once = rows.groupBy("path", "source_hash").agg(F.count("seq").alias("c")).filter("c = 1").select("path", "source_hash")
+    return rows.join(once, ["path", "source_hash"])
+
+
+@query(_UNIQUE + " SELECT path, seq, status FROM st")
+def reconcile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unique(spark, sf_dir).select("path", "seq", "status")
+
+
+@query(
+    _UNIQUE
+    + """ SELECT count(DISTINCT path) AS files, count(*) AS total, count(*) FILTER (status = 'Translated') AS translated, count(*) FILTER (status = 'Pending') AS pending, count(*) FILTER (status = 'Stale') AS stale,
+count(*) FILTER (status = 'ContextChanged') AS contextchanged, count(*) FILTER (status = 'GlossaryStale') AS glossarystale, round(100.0 * count(*) FILTER (status = 'Translated') / count(*), 6) AS percent FROM st"""
+)
+def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.status_summary(_unique(spark, sf_dir))
+
+
+@query(_UNIQUE + " SELECT count(*) FILTER (status <> 'Translated') AS open, count(*) FILTER (status <> 'Translated') = 0 AS ok FROM st")
+def status_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.status_check(_unique(spark, sf_dir))
+
+
+@query(_UNIQUE + " SELECT status, count(*) AS n FROM st GROUP BY status")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.status_counts(_unique(spark, sf_dir))
+
+
+@query(_UNIQUE + " SELECT d.doc_id AS path, count(st.seq) AS pending FROM documents d LEFT JOIN st ON st.path = d.doc_id AND st.status <> 'Translated' GROUP BY d.doc_id")
+def pending_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.pending_per_file(inputs.files(spark, sf_dir), _unique(spark, sf_dir))
+
+
+@query(_UNIQUE + " SELECT path, seq, status FROM st WHERE status IN ('Pending', 'Stale', 'GlossaryStale')")
+def high_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unique(spark, sf_dir).filter(reconcile.high_priority(F.col("status"))).select("path", "seq", "status")
+
+
+@query(_UNIQUE + " SELECT path, seq // 1000000 AS block_idx, count(*) AS n, string_agg(source, ' ' ORDER BY seq) AS asked FROM st WHERE status <> 'Translated' GROUP BY ALL")
+def group_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reconcile.group_by_block(_unique(spark, sf_dir))
+    return rows.select("path", F.col("block_idx").cast("long").alias("block_idx"), "n", F.array_join(F.transform("segments", lambda s: s["source"]), " ").alias("asked"))
+
+
+@query(_SEG + ", t AS (SELECT path, block_idx, seg_idx, lower(source) AS s FROM seg), g AS (SELECT * FROM (VALUES ('the'), ('und'), ('que'), ('license'), ('of the')) v(term)) SELECT path, block_idx, seg_idx, term FROM t, g WHERE regexp_matches(s, '(^|[^\\p{L}\\p{M}\\p{N}_])' || term || '($|[^\\p{L}\\p{M}\\p{N}_])')")
+def term_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = glossary.term_join(inputs.segments(spark, sf_dir), inputs.glossary(spark))
+    return found.select("path", "block_idx", "seg_idx", F.lower("term").alias("term"))
+
+
+@query(_SEG + " SELECT DISTINCT path, seq FROM seg WHERE regexp_matches(lower(source), '(^|[^\\p{L}\\p{M}\\p{N}_])und($|[^\\p{L}\\p{M}\\p{N}_])')")
+def snapshot_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.segments(spark, sf_dir).withColumn("glossary_snapshot", F.create_map(F.lit("the"), F.lit("T1")))
+    return glossary.stale_keys(rows, inputs.glossary(spark, (("the", "T1"), ("und", "T2"))))
+
+
+@query("SELECT c.c_mktsegment || c.c_custkey % 50 AS term, CASE WHEN max(c.c_custkey) % 3 = 0 THEN 'new' ELSE 'old' END AS translation, 'kept' AS note FROM customer c GROUP BY 1")
+def upsert_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = inputs.table(spark, sf_dir, "customer")
+    terms = c.groupBy(F.concat("c_mktsegment", (F.col("c_custkey") % 50).cast("string")).alias("term")).agg(F.max("c_custkey").alias("m"))
+    base = terms.select("term", F.lit("old").alias("translation"), F.lit("kept").alias("note"))
+    return glossary.upsert_term(base, terms.filter("m % 3 = 0").select("term", F.lit("new").alias("translation")))
+
+
+@query("SELECT p_partkey AS term, p_name AS translation FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def remove_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = inputs.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("term"), F.col("p_name").alias("translation"))
+    gone = inputs.table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("term"))
+    return glossary.remove_term(base, gone)
+
+
+# --- coverage ------------------------------------------------------------------------------
+
+_FLAGGED = (
+    "WITH"
+    + _LINES
+    + """, f AS (SELECT path, block_idx + 1 AS line, line AS t, regexp_matches(line, '[\\p{L}\\p{N}]') AS has_word, (path + block_idx) % 3 = 0 AS offered FROM lines
+WHERE NOT (line = '' AND block_idx = (SELECT len(string_split(text, chr(10))) - 1 FROM documents WHERE doc_id = path)))"""
+)
+_GAPS = _FLAGGED + """, i AS (SELECT *, sum(offered::int) OVER (PARTITION BY path ORDER BY line) AS island FROM f),
+g AS (SELECT path, min(line) AS first_line, max(line) AS last_line, count(*) AS lines FROM i WHERE has_word AND NOT offered GROUP BY path, island)"""
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = coverage.lines(inputs.files(spark, sf_dir))
+    offered = lines.filter((F.col("path") + F.col("line") - 1) % 3 == 0)
+    return coverage.flagged(lines, offered)
+
+
+@query(_FLAGGED + " SELECT path, count(*) FILTER (has_word) AS word_lines, count(*) FILTER (has_word AND offered) AS offered_lines, round(CASE WHEN count(*) FILTER (has_word) = 0 THEN 1.0 ELSE count(*) FILTER (has_word AND offered) / count(*) FILTER (has_word) END, 6) AS ratio FROM f GROUP BY path")
+def coverage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.coverage(_flagged(spark, sf_dir))
+
+
+@query(_GAPS + " SELECT path, first_line, last_line, lines FROM g")
+def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.gaps(_flagged(spark, sf_dir)).select("path", "first_line", "last_line", "lines")
+
+
+@query(_GAPS + " SELECT path, first_line, last_line, lines FROM g QUALIFY row_number() OVER (PARTITION BY path ORDER BY lines DESC, first_line) = 1")
+def largest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.largest_gap(coverage.gaps(_flagged(spark, sf_dir))).select("path", "first_line", "last_line", "lines")
+
+
+@query(_GAPS + ", r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY lines DESC, first_line) AS rank FROM g WHERE lines >= 2) SELECT path, first_line, lines, rank FROM r WHERE rank <= 5")
+def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = _flagged(spark, sf_dir)
+    return coverage.coverage_report(coverage.coverage(flagged), coverage.gaps(flagged), least=2).select("path", "first_line", "lines", "rank")
+
+
+@query(
+    "WITH b AS (SELECT doc_id AS path, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT path, i AS line, strlen(l[i]) + 1 AS n FROM b, unnest(range(1, len(l) + 1)) t(i)), s AS (SELECT path, line, sum(n) OVER (PARTITION BY path ORDER BY line) - n AS start, sum(n) OVER (PARTITION BY path ORDER BY line) AS stop, max(line) OVER (PARTITION BY path) AS last FROM x WHERE NOT (n = 1 AND line = (SELECT len(l) FROM b WHERE b.path = x.path)))"
+    " SELECT path, line FROM s WHERE start <= 100 AND (line = last OR stop > 20)"
+)
+def span_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = inputs.files(spark, sf_dir)
+    return coverage.span_lines(coverage.lines(files), files.select("path", F.lit(20).alias("span_start"), F.lit(100).alias("span_end")))
+
+
+# --- orphans -------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id AS path FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)")
+def orphan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = inputs.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"))
+    return orphans.orphan_states(states, inputs.files(spark, sf_dir).filter("path % 3 <> 0"))
+
+
+@query("SELECT doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def stateless_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = inputs.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"))
+    return orphans.stateless_files(inputs.files(spark, sf_dir).select("path"), states)
+
+
+_HALVES = _SEG + """, a AS (SELECT DISTINCT path, h FROM seg WHERE path % 2 = 1), b AS (SELECT DISTINCT path, h FROM seg WHERE path % 2 = 0),
+n AS (SELECT path, count(*) AS n FROM a GROUP BY path), c AS (SELECT a.path, b.path AS orphan_path, count(*) AS common FROM a JOIN b USING (h) GROUP BY ALL)"""
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = inputs.files(spark, sf_dir).select("path", H.content_hash(F.col("source")).alias("file_hash"))
+    rows = files.join(inputs.segments(spark, sf_dir).select("path", "source_hash"), "path", "left")
+    return rows.filter("path % 2 = 1"), rows.filter("path % 2 = 0")
+
+
+@query(_HALVES + " SELECT path, orphan_path, round(common / n, 6) AS overlap FROM c JOIN n USING (path) WHERE common >= 0.5 * n")
+def orphan_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = orphans.candidates(*_halves(spark, sf_dir))
+    return found.select("path", "orphan_path", F.round("overlap", 6).alias("overlap"))
+
+
+@query()
+def match_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphans.match_orphans(*_halves(spark, sf_dir))
+
+
+# --- evaluators ----------------------------------------------------------------------------
+
+
+@query("WITH p AS (SELECT page_id AS path, list_transform(regexp_extract_all(html, 'https?://[^\\s<>\"()]*'), lambda u: regexp_replace(u, '[.,;]+$', '')) AS s, list_transform(regexp_extract_all(html[1:length(html) // 2], 'https?://[^\\s<>\"()]*'), lambda u: regexp_replace(u, '[.,;]+$', '')) AS t FROM pages) SELECT path, len(list_filter(s, lambda u: NOT list_contains(t, u))) AS lost FROM p")
+def eval_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = inputs.table(spark, sf_dir, "pages")
+    half = F.substring(F.col("html"), F.lit(1), F.floor(F.length("html") / 2).cast("int"))
+    return pages.select(F.col("page_id").alias("path"), F.size(evaluate.eval_link(F.col("html"), half)).cast("long").alias("lost"))
+
+
+@query("WITH p AS (SELECT conv_id AS path, turn AS seq, text AS s, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM conversations) SELECT path, seq, len(regexp_extract_all(s, '`+')) = len(regexp_extract_all(t, '`+')) AND len(regexp_extract_all(s, '[*]+')) = len(regexp_extract_all(t, '[*]+')) AS same FROM p WHERE t IS NOT NULL")
+def eval_format_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.pairs(spark, sf_dir).filter("translation is not null")
+    found = evaluate.eval_format_runs(F.col("source"), F.col("translation"), F.lit("asciidoc"))
+    return rows.select("path", "seq", (F.size(found) == 0).alias("same"))
+
+
+@query("SELECT conv_id AS path, turn AS seq, CASE WHEN regexp_matches(ltrim(text), '^[*+-][ \\t]') THEN 'list item' WHEN regexp_matches(ltrim(text), '^#[ \\t]') THEN 'heading' WHEN regexp_matches(ltrim(text), '^>[ \\t]') THEN 'block quote' WHEN starts_with(ltrim(text), '|') THEN 'table cell' END AS opened FROM conversations")
+def line_start_construct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("seq"), evaluate.line_start_construct(F.col("text")).alias("opened"))
+
+
+@query("WITH p AS (SELECT conv_id AS path, turn AS seq, lower(text) AS s, lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS t FROM conversations) SELECT path, seq FROM p WHERE t IS NOT NULL AND regexp_matches(s, '(^|[^\\p{L}\\p{M}\\p{N}_])the($|[^\\p{L}\\p{M}\\p{N}_])') AND NOT contains(t, 'of')")
+def eval_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.pairs(spark, sf_dir).filter("translation is not null")
+    return evaluate.eval_glossary(rows, inputs.glossary(spark, (("The", "OF"),))).select("path", "seq")
+
+
+@query()
+def evaluators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All mechanical rules over neighbouring turns."""
+    return evaluate.mechanical(inputs.pairs(spark, sf_dir), "ko")
+
+
+@query()
+def issue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.pairs(spark, sf_dir).filter("translation is not null")
+    return evaluate.issue_totals(rows, evaluate.mechanical(rows, "ko"))
+
+
+# --- translation and reconstruction --------------------------------------------------------
+
+
+@query("SELECT conv_id AS path, array_to_string(list(coalesce(t, '') ORDER BY turn), chr(10)) AS answers FROM (SELECT conv_id, turn, trim(regexp_replace(string_split(text, chr(10))[1], '\\s+$', '')) AS t FROM conversations) WHERE t <> '' GROUP BY conv_id")
+def parse_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns' first lines numbered, parsed, and joined again by number."""
+    turns = inputs.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.trim(F.get(F.split("text", "\n"), F.lit(0))).alias("t")).filter("t <> ''")
+    answer = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: F.concat(F.lit("["), x["turn"].cast("string"), F.lit("] "), x["t"])), "\n")
+    parsed = turns.groupBy("conv_id").agg(answer.alias("a")).select("conv_id", translate.parse_response(F.col("a")).alias("m"))
+    return parsed.select(F.col("conv_id").alias("path"), F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: e["value"]), "\n").alias("answers"))
+
+
+@query(_SEG + ", d AS (SELECT path, count(*) AS n FROM seg GROUP BY path) SELECT path, n FROM d")
+def translate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment through the offline provider: as many answers as segments, all tagged."""
+    rows = inputs.segments(spark, sf_dir).withColumn("status", F.lit("Pending"))
+    done = translate.translate(reconcile.group_by_block(rows), translate.offline, "en", "ko")
+    return done.filter(F.col("translation").startswith("<ko> ")).groupBy("path").agg(F.count("seq").alias("n"))
+
+
+@query(_SEG + " SELECT path, block_idx, string_agg(CASE WHEN seg_idx % 2 = 0 THEN upper(source) ELSE source END, ' ' ORDER BY seg_idx) AS text FROM seg GROUP BY ALL")
+def join_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.segments(spark, sf_dir).withColumn("translation", F.when(F.col("seg_idx") % 2 == 0, F.upper("source")))
+    return reconstruct.join_translations(rows).select("path", "block_idx", "text")
+
+
+@query("SELECT doc_id AS path, md5(array_to_string(list_transform(list_zip(l, range(len(l))), lambda x: CASE WHEN x[2] % 2 = 0 AND x[1] <> '' THEN '<' || x[2] || '>' ELSE x[1] END), chr(10))) AS digest FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+def apply_splices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other line replaced by its number, by byte ranges."""
+    files = inputs.files(spark, sf_dir)
+    lines = coverage.lines(files).filter("(line - 1) % 2 = 0 and text <> ''")
+    spans = lines.select("path", "start", F.col("line").cast("long").alias("ord"), (F.col("start") + F.octet_length("text")).alias("stop"), F.concat(F.lit("<"), (F.col("line") - 1).cast("string"), F.lit(">")).alias("text"))
+    return reconstruct.apply_splices(files, spans).select("path", F.md5("output").alias("digest"))
+
+
+@query("WITH l AS (SELECT o_orderkey % 700 AS path, o_custkey % 4 AS layer, o_orderkey AS k FROM orders) SELECT path, max(layer) AS layer, max(k) FILTER (layer = m) AS source FROM (SELECT *, max(layer) OVER (PARTITION BY path) AS m FROM l) GROUP BY path")
+def overlay_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = inputs.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 700).alias("path"), (F.col("o_custkey") % 4).alias("layer"), "o_orderkey")
+    return assembly.overlay_layers(layers.groupBy("path", "layer").agg(F.max("o_orderkey").alias("source")))
+
+
+# --- events --------------------------------------------------------------------------------
+
+_EV = "WITH e AS (SELECT user_id::varchar AS run_id, event_id AS seq, event_id % 11 AS t, event_id % 5 AS segments, event_id % 3 + 1 AS attempt, event_id % 17 AS pending, 'f' || event_id % 13 AS file FROM events)"
+
+
+@query(
+    _EV
+    + """ SELECT run_id, max(CASE WHEN t = 0 THEN 4 END) AS concurrency, count(*) FILTER (t = 1) AS files_total, coalesce(sum(pending) FILTER (t = 1), 0)::bigint AS segments_total, count(*) FILTER (t IN (9, 10)) AS files_done,
+coalesce(sum(segments) FILTER (t = 7), 0)::bigint AS segments_done, count(*) FILTER (t = 5 AND attempt > 1) AS retried, count(*) FILTER (t IN (8, 10)) AS errors FROM e GROUP BY run_id"""
+)
+def job_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.job_totals(inputs.events(spark, sf_dir)).select("run_id", "concurrency", "files_total", "segments_total", "files_done", "segments_done", "retried", "errors")
+
+
+@query(
+    _EV
+    + """, n AS (SELECT * FROM e WHERE t IN (1, 2, 4, 7, 9, 10)) SELECT run_id, file, arg_max(CASE WHEN t = 1 THEN 'waiting' WHEN t IN (2, 4, 7) THEN 'translating' WHEN t = 9 THEN 'done' ELSE 'error' END, seq) AS state,
+coalesce(max(pending), 0) AS total, least(coalesce(sum(segments) FILTER (t = 7), 0), coalesce(max(pending), 0))::bigint AS done FROM n GROUP BY ALL"""
+)
+def file_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.file_fold(inputs.events(spark, sf_dir))
+
+
+@query("SELECT event_id AS seq FROM events ORDER BY event_id DESC LIMIT 150")
+def feed_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 150 events, which is the feature."""
+    return E.feed_limit(inputs.events(spark, sf_dir)).select("seq")
