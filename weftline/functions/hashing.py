@@ -36,7 +36,7 @@ def compat_hash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
     signed = lambda t: None if t is None else (lambda h: h - (h >> 63 << 64))(xxhash.xxh64_intdigest(t.encode()))
     for batch in texts:
-        yield batch.map(signed).astype("Int64")
+        yield pd.Series([signed(t) for t in batch], dtype="Int64")
 
 
 @pandas_udf(LongType())
@@ -44,7 +44,7 @@ def _compat_bytes(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import xxhash
 
     for batch in raw:
-        yield batch.map(lambda b: (lambda h: h - (h >> 63 << 64))(xxhash.xxh64_intdigest(b))).astype("Int64")
+        yield pd.Series([(lambda h: h - (h >> 63 << 64))(xxhash.xxh64_intdigest(b)) for b in batch], dtype="Int64")
 
 
 def little_endian(value: Column) -> Column:
@@ -65,4 +65,4 @@ def fnv1a64(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         return h - (h >> 63 << 64)
 
     for batch in texts:
-        yield batch.map(lambda t: None if t is None else digest(t)).astype("Int64")
+        yield pd.Series([None if t is None else digest(t) for t in batch], dtype="Int64")
