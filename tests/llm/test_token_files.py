@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from weftline.llm.token_files import crc32, pack, read_segments, round_trip, segment, unpack
 from weftline.llm.word_tokens import BYTE_BPE, WORD_BPE, WordTokens, tokenizer_path
 
-BITS = ["a", "The", "ing", " ", " ", "  ", "\n", "\n\n", " \n", "é", "é", "\t", "\xa0", "😀", "<|endoftext|>", "'s", "'LL", "123", "日本", "\x00", "--", "İ", "Σ", "　"]
+BITS = ["a", "The", "ing", " ", " ", "  ", "\n", "\n\n", " \n", "é", "é", "\t", "\xa0", "😀", "<|endoftext|>", "'s", "'LL", "123", "日本", "\x00", "--", "İ", "Σ", "　", "Straße", "ÑANDÚ,", "l'été", "x²", "½", "\xad", "a_b", "Ǆ"]
 
 
 @pytest.mark.parametrize("high", [1, 2, 300, 1 << 15, 50_257, 1 << 30, 1 << 60, 1 << 63])

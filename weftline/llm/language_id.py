@@ -129,7 +129,7 @@ def fit(found: list[np.ndarray], counts: list[np.ndarray], langs: list[str], cal
 
 def _examples(text: str, key: int) -> Iterator[np.ndarray]:
     """The whole text's buckets, then those of two snippets."""
-    yield np.concatenate([buckets(text[lo : lo + PART]) for lo in range(0, len(text), PART)])
+    yield np.concatenate([buckets(text[lo : lo + PART]) for lo in range(0, max(1, len(text)), PART)])
     rng = np.random.default_rng(key & 0xFFFFFFFF)
     for size in (30, 100):
         if len(text) > 2 * size:
