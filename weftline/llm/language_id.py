@@ -95,7 +95,6 @@ def fit(found: list[np.ndarray], counts: list[np.ndarray], langs: list[str], cal
         return Model([], np.zeros((1 << BUCKET_BITS, 0)), np.zeros(0))
     y = np.array([languages.index(x) for x in langs])
     rng = np.random.default_rng(seed)
-    # one more column than needed: it takes the bias
     embed = rng.uniform(-1 / WIDTH, 1 / WIDTH, (1 << BUCKET_BITS, WIDTH)).astype(np.float32)
     out = np.zeros((WIDTH, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)

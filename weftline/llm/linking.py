@@ -15,6 +15,10 @@ from weftline.llm.common import written
 
 #: Members of a bucket that one block holds; a larger bucket is compared block by block.
 BLOCK = 256
+#: Rounds of comparison with heads, and heads that an item is compared with in each.
+ROUNDS, TRIES = 3, 2
+#: Rows up to which a table of ids is sent to all executors.
+BROADCAST_ROWS = 400_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,14 +29,12 @@ def components(links: DataFrame) -> DataFrame:
     changes, which takes rounds in the logarithm of the longest chain. A hub's links
     meet its minimum in a join whose sides can both be split.
     """
-    pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
-    pairs = written(pairs.distinct(), "links")
+    pairs = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     state = _state(pairs)
     while state[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links")
+        lowest = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
         large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "links")
         # a node has few lower neighbours left: at most one for each link of its own
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
@@ -59,28 +61,48 @@ def link(members: DataFrame, confirm: Pairs, compare: Pairs) -> DataFrame:
     compare(key, i, j, id, slot, component) gets blocks of members and returns candidate
     pairs (a, b) with a in slot i, b in slot j and different components.
 
-    First each item is compared with the least member of one bucket only: that with
-    which it shares most buckets. What this joins needs no more comparison inside. Then
-    every bucket that still holds several components has all its pairs across
-    components compared, in blocks, so that no link is lost; a bucket of one component,
-    such as that of a large group of copies, is passed over whole.
+    In a round, every bucket that still holds several components has one member as its
+    head, and an item outside the head's component is compared with the TRIES heads with
+    which it shares most buckets. What this joins needs no more comparison inside, so
+    that a large group of copies is soon one component. When a round joins nothing, or
+    after ROUNDS, all pairs across components in the buckets left are compared, in
+    blocks, so that no link is lost.
     """
-    heads = members.groupBy("key").agg(F.min("id").alias("head"), F.count("id").alias("n")).filter("n > 1")
-    heads = written(heads, "heads")
-    held = written(members.join(heads, "key"), "held")
-    shared = held.filter("id <> head").groupBy("id", "head").agg(F.count("key").alias("n"))
-    first = shared.groupBy("id").agg(F.max(F.struct("n", "head")).alias("best"))
-    near = confirm(first.select(F.col("id").alias("a"), F.col("best.head").alias("b")))
-    near = written(near, "near")
-    known = written(components(near), "known")
-    placed = held.join(known, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    mixed = written(mixed, "mixed")
-    rest = placed.join(mixed, "key").withColumn("slots", F.ceil(F.col("n") / BLOCK).cast("int"))
+    sizes = written(members.groupBy("key").agg(F.count("id").alias("n")).filter("n > 1"), "sizes")
+    held = written(members.join(sizes, "key"), "held")
+    left, known = held.withColumn("component", F.col("id")), None
+    for number in range(ROUNDS + 1):
+        if known is not None:
+            left = written(held.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+        order = F.col("id") if number == 0 else F.xxhash64("id", F.lit(number))
+        heads = left.groupBy("key").agg(
+            F.min(F.struct(order.alias("o"), F.col("id").alias("head"), F.col("component").alias("c"))).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")
+        )
+        # buckets of one component are done
+        heads = written(heads.filter("lo < hi").select("key", "h.head", "h.c"), "heads")
+        held = left = left.join(heads, "key")
+        if number == ROUNDS:
+            break
+        met = left.filter("component <> c").groupBy("id", "head").agg(F.count("key").alias("shared"))
+        # an item is in a fixed number of buckets, and so has few heads
+        best = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "head")), asc=False), 1, TRIES).alias("best"))
+        near = written(confirm(best.select(F.col("id").alias("a"), F.explode("best.head").alias("b"))), "near")
+        if near.limit(1).count() == 0:
+            break
+        known = written(components(near if known is None else _as_links(known).unionByName(near.select("a", "b"))), "known")
+        held = left.select("key", "id", "n")
+    rest = left.withColumn("slots", F.ceil(F.col("n") / BLOCK).cast("int"))
     rest = rest.withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))
     rest = rest.select("key", "id", "component", "slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other"))
     rest = rest.select("key", "id", "component", "slot", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
-    far = confirm(compare(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    joined = known.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return components(joined.unionByName(written(far, "far").select("a", "b")))
+    far = written(confirm(compare(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "far").select("a", "b")
+    return components(far if known is None else _as_links(known).unionByName(far))
+
+
+def _as_links(labels: DataFrame) -> DataFrame:
+    return labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
+def sized(small: DataFrame) -> DataFrame:
+    """small with a broadcast hint where its rows, of a few numbers each, are few; else it is joined by a shuffle."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import passes, written
-from weftline.llm.linking import link
+from weftline.llm.linking import link, sized
 
 MINIMA, ROWS, KEPT_BITS = 128, 5, 4
 BANDS = MINIMA // ROWS
@@ -266,8 +266,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
         both = pairs.join(sizes.toDF("a", "p", "m"), "a").join(sizes.toDF("b", "q", "n"), "b")
         both = both.filter(100 * F.least("m", "n") >= similarity * F.greatest("m", "n")).select("a", "b", "p", "q")
         likely = written(both.mapInArrow(near, "a long, b long"), "likely")
-        wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-        texts = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
+        wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id")))
+        wanted = written(wanted.distinct(), "wanted")
+        texts = docs.select("doc_id", "text").join(sized(wanted), "doc_id").dropDuplicates(["doc_id"])
         sets = written(_sets(texts, words), "sets")
         joined = likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         return _confirm_sets(joined, similarity)
