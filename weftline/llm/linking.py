@@ -16,7 +16,7 @@ from weftline.llm.common import written
 #: Members of a bucket that one block holds; a larger bucket is compared block by block.
 BLOCK = 256
 #: Rounds of comparison with heads, and heads that an item is compared with in each.
-ROUNDS, TRIES = 3, 2
+ROUNDS, TRIES = 2, 2
 #: Rows up to which a table of ids is sent to all executors.
 BROADCAST_ROWS = 400_000
 
@@ -25,13 +25,12 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links(a, b): component is the least id that links reach.
 
     Alternates large stars (every neighbour above a node moves to the node's least
-    neighbour) and small stars (the same among the lower neighbours) until nothing
-    changes, which takes rounds in the logarithm of the longest chain. A hub's links
+    neighbour) and small stars (the same among the lower neighbours) until only stars
+    are left, which takes rounds in the logarithm of the longest chain. A hub's links
     meet its minimum in a join whose sides can both be split.
     """
     pairs = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    state = _state(pairs)
-    while state[0]:
+    while not _stars(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
         large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -40,15 +39,15 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         pairs = written(small.distinct(), "links")
-        state, before = _state(pairs), state
-        if state == before:
-            break
     tops = pairs.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(tops)
 
 
-def _state(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count("u"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _stars(pairs: DataFrame) -> bool:
+    """Whether every node has one lower neighbour, which has none itself."""
+    several = pairs.groupBy("u").agg(F.count("v").alias("n")).filter("n > 1").select("u")
+    chained = pairs.join(pairs.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+    return several.unionByName(chained).isEmpty()
 
 
 Pairs = Callable[[DataFrame], DataFrame]
@@ -80,6 +79,8 @@ def link(members: DataFrame, confirm: Pairs, compare: Pairs) -> DataFrame:
         )
         # buckets of one component are done
         heads = written(heads.filter("lo < hi").select("key", "h.head", "h.c"), "heads")
+        if heads.isEmpty():
+            return components(members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)) if known is None else known
         held = left = left.join(heads, "key")
         if number == ROUNDS:
             break
@@ -87,7 +88,7 @@ def link(members: DataFrame, confirm: Pairs, compare: Pairs) -> DataFrame:
         # an item is in a fixed number of buckets, and so has few heads
         best = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "head")), asc=False), 1, TRIES).alias("best"))
         near = written(confirm(best.select(F.col("id").alias("a"), F.explode("best.head").alias("b"))), "near")
-        if near.limit(1).count() == 0:
+        if near.isEmpty():
             break
         known = written(components(near if known is None else _as_links(known).unionByName(near.select("a", "b"))), "known")
         held = left.select("key", "id", "n")
@@ -96,6 +97,8 @@ def link(members: DataFrame, confirm: Pairs, compare: Pairs) -> DataFrame:
     rest = rest.select("key", "id", "component", "slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other"))
     rest = rest.select("key", "id", "component", "slot", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
     far = written(confirm(compare(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "far").select("a", "b")
+    if known is not None and far.isEmpty():
+        return known
     return components(far if known is None else _as_links(known).unionByName(far))
 
 
