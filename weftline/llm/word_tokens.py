@@ -4,25 +4,46 @@ Pre-tokenisation of the two supported vocabularies never joins characters across
 cuts made here (before a single space between two other characters, and around a line
 feed between them; where white space is dropped, at every space and line feed), so the
 ids of a text are its stretches' ids one after another. A text where such a cut is not
-certain goes to the library whole.
+certain goes to the library whole. A stretch of plain letters, digits and signs is cut
+into words by the pre-tokeniser's own pattern, and a word not met before goes to the
+library's model; any other stretch goes through all of the library's steps.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
+import regex
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Stretches that a worker remembers; beyond, it starts anew.
-REMEMBERED = 800_000
-#: White space next to white space, or other than space and line feed.
-_UNSURE = re.compile(r"\s\s|[^\S \n]")
+REMEMBERED = 1_200_000
+#: Neighbours at which a cut is not certain; so is other white space after a line feed.
+_UNSURE = ("  ", " \n", "\n ", "\n\n")
+_UNSURE_AFTER = re.compile(r"\n[^\S \n]")
+#: Characters that normalisation keeps (but for case) and that both sides class alike: letters, signs and digits below U+0250.
+_PLAIN = re.compile(r"[\n -~\xa1-\u012f\u0131-\u024f]*")
 _SPACED = re.compile(r" ?[^ \n]+|\n| ")
 _DROPPED = re.compile(r"[^ \n]+")
 
+# The pre-tokenisers' patterns, as in the tokenizer files
+_KEPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_DROPPED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte: itself where it prints, else the next one from U+0100 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -38,18 +59,21 @@ class WordTokens:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
         self.spaces_kept = spaces_kept
+        self.pattern = regex.compile(_KEPT_PATTERN if spaces_kept else _DROPPED_PATTERN)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.words: dict[str, bytes] = {}
         self.flat, self.used = np.empty(1 << 20, np.int32), 0
         self.at, self.len = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
 
     def stretches(self, text: str) -> list[str]:
         if not self.spaces_kept:
             return _DROPPED.findall(text)
-        if _UNSURE.search(text):
+        if any(x in text for x in _UNSURE) or _UNSURE_AFTER.search(text):
             return [text]
         return _SPACED.findall(text)
 
@@ -58,18 +82,34 @@ class WordTokens:
         while k + len(fresh) > len(self.at):
             self.at = np.concatenate([self.at, np.empty_like(self.at)])
             self.len = np.concatenate([self.len, np.empty_like(self.len)])
-        for lo in range(0, len(fresh), 2000):
-            part = [e.ids for e in self.library.encode_batch_fast(fresh[lo : lo + 2000], add_special_tokens=False)]
-            lens = np.fromiter(map(len, part), np.int64, len(part))
-            total = int(lens.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(part), np.int32, total)
-            self.at[k + lo : k + lo + len(part)] = self.used + np.cumsum(lens) - lens
-            self.len[k + lo : k + lo + len(part)] = lens
-            self.used += total
+        raw = list(map(self._stretch, fresh))
+        flat = np.frombuffer(b"".join(raw), "<i4")
+        lens = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.at[k : k + len(fresh)] = self.used + np.cumsum(lens) - lens
+        self.len[k : k + len(fresh)] = lens
+        self.used += len(flat)
         self.known.update(zip(fresh, range(k, k + len(fresh)), strict=True))
 
+    def _stretch(self, text: str) -> bytes:
+        """Ids of a stretch. Where its letters leave no doubt how it is normalised and cut, its words go to the library's model one by one, each once."""
+        if not _PLAIN.fullmatch(text):
+            return np.array(self._ids(text), "<i4").tobytes()
+        words = self.pattern.findall(text if self.spaces_kept else text.lower())
+        try:
+            return b"".join(map(self.words.__getitem__, words))
+        except KeyError:
+            for w in words:
+                if w not in self.words:
+                    found = self.model.tokenize(w.encode().decode("latin-1").translate(_BYTE_LETTERS))
+                    self.words[w] = array("i", [x.id for x in found]).tobytes()
+            return b"".join(map(self.words.__getitem__, words))
+
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text's followed by ``end``, in one array; and how many ids each text has with that id."""
         if len(self.known) > REMEMBERED or self.used > 8 * REMEMBERED:
