@@ -185,5 +185,5 @@ def test_lines_against_brute_force(spark):
 
 def test_lines_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "some line that is long enough\nanother")], "doc_id long, text string")
-    plan = line_dedup._lines(docs).select(line_dedup._bands(line_dedup.F.col("line")))._jdf.queryExecution().toString()
+    plan = line_dedup._lines(docs).select(line_dedup._minima(line_dedup.F.col("line")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
