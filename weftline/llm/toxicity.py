@@ -29,7 +29,7 @@ from weftline.llm.common import fold, spread_sample
 ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 20
 #: Labelled rows of either class that the model is fitted on.
-SAMPLE = 2000
+SAMPLE = 1500
 #: Documents a feature needs in the sample, and the least |r| that is kept, in standard errors of r.
 LEAST_DOCS, LEAST_ERRORS = 4, 3.0
 SMOOTHING, INTERPOLATION, PENALTY, STEPS = 0.5, 0.1, 0.2, 400
@@ -78,18 +78,21 @@ def fit(sets: list[np.ndarray], labels: list[int], toxic_share: float) -> Model:
     prior = np.log(toxic_share / (1 - toxic_share))
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(1 << BUCKET_BITS), prior)
-    flat, lens = np.concatenate(sets), np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets), dtype=np.int32), lens)
-    with_label = np.bincount(flat, weights=y[owner], minlength=1 << BUCKET_BITS)
-    count = np.bincount(flat, minlength=1 << BUCKET_BITS)
+    # a set holds a bucket once, so that plain indexing counts; only what is kept is ever joined
+    with_label, count = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
+    for found, label in zip(sets, labels, strict=True):
+        count[found] += 1
+        if label:
+            with_label[found] += 1
     p, q = with_label + SMOOTHING, count - with_label + SMOOTHING
     ratio = np.log(p / (y.sum() + 2 * SMOOTHING)) - np.log(q / (len(y) - y.sum() + 2 * SMOOTHING))
     ratio[(count < LEAST_DOCS) | (np.abs(ratio) < LEAST_ERRORS * np.sqrt(1 / p + 1 / q))] = 0
-    keep = ratio[flat] != 0
-    used, index = np.unique(flat[keep], return_inverse=True)
+    sets = [found[ratio[found] != 0] for found in sets]
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    used, index = np.unique(np.concatenate(sets), return_inverse=True)
     if not len(used):
         return Model(np.zeros(1 << BUCKET_BITS), prior)
-    owner, value = owner[keep], ratio[used][index]
+    value = ratio[used][index]
     w, b = np.full(len(used), 0.02), 0.0
     first, second, m_b, v_b = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, STEPS + 1):
