@@ -4,7 +4,7 @@ Pre-tokenisation of the two supported vocabularies never joins characters across
 cuts made here (before a single space between two other characters, and around a line
 feed between them; where white space is dropped, at every space and line feed), so the
 ids of a text are its stretches' ids one after another. A text where such a cut is not
-certain goes to the library whole. A stretch of plain letters, digits and signs is cut
+certain goes to the library whole, as does one that holds an added token's string. A stretch of plain letters, digits and signs is cut
 into words by the pre-tokeniser's own pattern, and a word not met before goes to the
 library's model; any other stretch goes through all of the library's steps.
 """
@@ -52,13 +52,17 @@ def tokenizer_path(name: str) -> str:
 
 
 class WordTokens:
-    """Encoder for one tokenizer file; ``spaces_kept`` says whether white space is part of its tokens (byte-level) or dropped."""
+    """Encoder for one tokenizer file; ``spaces_kept`` says whether white space is part of its tokens (byte-level) or dropped.
 
-    def __init__(self, path: str, spaces_kept: bool):
+    With ``added``, as the library does by itself, the string of an added token in a text is that token; without, it is text like any other.
+    """
+
+    def __init__(self, path: str, spaces_kept: bool, added: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added
+        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()] if added else []
         self.model = self.library.model
         self.spaces_kept = spaces_kept
         self.pattern = regex.compile(_KEPT_PATTERN if spaces_kept else _DROPPED_PATTERN)
@@ -70,7 +74,12 @@ class WordTokens:
         self.flat, self.used = np.empty(1 << 20, np.int32), 0
         self.at, self.len = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
 
+    def _has_added(self, text: str) -> bool:
+        return any(x in text for x in self.added)
+
     def stretches(self, text: str) -> list[str]:
+        if self._has_added(text):
+            return [text]
         if not self.spaces_kept:
             return _DROPPED.findall(text)
         if any(x in text for x in _UNSURE) or _UNSURE_AFTER.search(text):
@@ -95,7 +104,7 @@ class WordTokens:
 
     def _stretch(self, text: str) -> bytes:
         """Ids of a stretch. Where its letters leave no doubt how it is normalised and cut, its words go to the library's model one by one, each once."""
-        if not _PLAIN.fullmatch(text):
+        if not _PLAIN.fullmatch(text) or self._has_added(text):
             return np.array(self._ids(text), "<i4").tobytes()
         words = self.pattern.findall(text if self.spaces_kept else text.lower())
         try:
@@ -141,5 +150,5 @@ _OPEN: dict[tuple[str, bool], WordTokens] = {}
 def encoder(path: str, spaces_kept: bool) -> WordTokens:
     """The worker's own encoder, made once and kept from task to task."""
     if (path, spaces_kept) not in _OPEN:
-        _OPEN[path, spaces_kept] = WordTokens(path, spaces_kept)
+        _OPEN[path, spaces_kept] = WordTokens(path, spaces_kept, added=True)
     return _OPEN[path, spaces_kept]
