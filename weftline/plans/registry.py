@@ -201,6 +201,45 @@ def group_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", F.col("block_idx").cast("long").alias("block_idx"), "n", F.array_join(F.transform("segments", lambda s: s["source"]), " ").alias("asked"))
 
 
+# The seven queries above leave out repeated texts, as their SQL does; these hold all segments and have no SQL, which cannot match greedily.
+
+
+@query()
+def reconcile_status_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _status(spark, sf_dir).select("path", "seq", "status")
+
+
+@query()
+def status_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.status_summary(_status(spark, sf_dir))
+
+
+@query()
+def status_check_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.status_check(_status(spark, sf_dir))
+
+
+@query()
+def status_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.status_counts(_status(spark, sf_dir))
+
+
+@query()
+def pending_per_file_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.pending_per_file(inputs.files(spark, sf_dir), _status(spark, sf_dir))
+
+
+@query()
+def high_priority_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _status(spark, sf_dir).filter(reconcile.high_priority(F.col("status"))).select("path", "seq", "status")
+
+
+@query()
+def group_by_block_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reconcile.group_by_block(_status(spark, sf_dir))
+    return rows.select("path", F.col("block_idx").cast("long").alias("block_idx"), "n", F.array_join(F.transform("segments", lambda s: s["source"]), " ").alias("asked"))
+
+
 @query(_SEG + ", t AS (SELECT path, block_idx, seg_idx, lower(source) AS s FROM seg), g AS (SELECT * FROM (VALUES ('the'), ('und'), ('que'), ('license'), ('of the')) v(term)) SELECT path, block_idx, seg_idx, term FROM t, g WHERE regexp_matches(s, '(^|[^\\p{L}\\p{M}\\p{N}_])' || term || '($|[^\\p{L}\\p{M}\\p{N}_])')")
 def term_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = glossary.term_join(inputs.segments(spark, sf_dir), inputs.glossary(spark))
