@@ -59,8 +59,10 @@ class Engine:
         return translate.translate_evaluate_retry(asked, provider, check, save, source_lang, self.target_lang, terms, max_retries)
 
     def outputs(self, rows: DataFrame) -> DataFrame:
-        """(path, output) with the translations of rows(path, section_idx, block_idx, seq, source, translation)."""
-        return reconstruct.apply_splices(self.files, reconstruct.collect_splices(self.blocks, rows)).select("path", "output")
+        """(path, output) with the translations of rows(path, section_idx, block_idx, seq, source, translation); lines under and over translated titles are drawn anew."""
+        lines = reconstruct.underline_splices(self.blocks, reconstruct.join_translations(rows))
+        splices = reconstruct.collect_splices(self.blocks, rows).unionByName(lines)
+        return reconstruct.apply_splices(self.files, splices).select("path", "output")
 
     def set_terms(self, changes: DataFrame) -> None:
         self.terms = glossary.upsert_term(self.terms, changes)
