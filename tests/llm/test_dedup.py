@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from weftline.llm import embedding_dedup, line_dedup, minhash_dedup
+from weftline.llm import common, embedding_dedup, line_dedup, minhash_dedup
 from weftline.llm.linking import components
 
 
@@ -183,7 +183,35 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
-def test_lines_plan_has_no_python(spark):
-    docs = spark.createDataFrame([(1, "some line that is long enough\nanother")], "doc_id long, text string")
-    plan = line_dedup._lines(docs).select(line_dedup._minima(line_dedup.F.col("line")))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+def test_lines_plans_have_no_python(spark, monkeypatch):
+    from weftline.llm import linking
+
+    plans = []
+
+    def recorded(df, name):
+        plans.append((name, df._jdf.queryExecution().toString()))
+        return common.written(df, name)
+
+    for module in (line_dedup, linking):
+        monkeypatch.setattr(module, "written", recorded)
+    words = [f"word{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(words[: 40 + k % 9]) + "\nanother") for k in range(40)], "doc_id long, text string")
+    done = line_dedup.dedup_lines(docs)
+    plans.append(("result", done._jdf.queryExecution().toString()))
+    assert {"lines", "shared", "near", "line-components"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if "Python" in plan or "Arrow" in plan or "Pandas" in plan]
+
+
+def test_lines_of_odd_tables(spark):
+    # extra and clashing columns stay, texts of one doc_id are told apart, repeated rows stay alike, long and wide lines
+    long = " ".join(f"w{k}" for k in range(40_000))
+    line = "a line that is long enough to be compared with the others of the table"
+    rows = [(1, line, "m", 7), (1, line + "\nsomething else entirely in the other version", "n", 8), (1, line, "o", 9), (None, line, "p", 1), (2, None, "q", 2), (3, "", "r", 3)]
+    rows += [(4, long, "s", 4), (5, long.replace("w7 ", "w8 "), "t", 5), (6, "\U0001f600" * 3 + line, "u", 6), (7, "x\n\n x", "v", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, version string, _gone int")
+    got = {r.version: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert line_dedup.dedup_lines(docs).columns == [*docs.columns, "n_lines", "n_removed"]
+    assert {k: r._gone for k, r in got.items()} == {r[2]: r[3] for r in rows}
+    assert got["m"].text == got["o"].text and {got["m"].text, got["n"].text.split("\n")[0]} != {line}
+    assert [got["m"].n_removed + got["n"].n_removed, got["p"].text, got["q"].text, got["r"].text] == [1, line, None, ""]
+    assert (got["s"].n_removed, got["t"].n_removed, got["u"].n_removed, got["v"].text) == (0, 1, 1, "x\n\n x")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import written
-from weftline.llm.linking import link
+from weftline.llm.linking import link, shared_buckets
 from weftline.llm.minhash_dedup import block_pairs, mix
 
 BITS, BAND_BITS, BANDS = 512, 14, 36
@@ -181,7 +181,7 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.95) -> DataFrame:
     def compare(rows: DataFrame) -> DataFrame:
         return block_pairs(rows.join(codes, "id"), lambda p, q: np.bitwise_count(p ^ q).sum(axis=1) <= most, "code")
 
-    linked = written(link(reps.select(F.explode("bands").alias("key"), "id"), confirm, compare), "linked")
+    linked = written(link(shared_buckets(reps.select(F.explode("bands").alias("key"), "id")), confirm, compare), "linked")
     members = linked.join(classes.select(F.col("rep").alias("id"), "copies"), "id").join(reps.select("id", "vector"), "id")
     sizes = linked.groupBy("component").agg(F.ceil(F.count("id") / BLOCK).cast("int").alias("slots"))
     members = members.join(written(sizes, "sizes"), "component").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))

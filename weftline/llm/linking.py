@@ -11,14 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import written
+from weftline.llm.common import shuffles_done, written
 
 #: Members of a bucket that one block holds; a larger bucket is compared block by block.
 BLOCK = 256
 #: Rounds of comparison with heads, and heads that an item is compared with in each.
-ROUNDS, TRIES = 2, 2
-#: Rows up to which a table of ids is sent to all executors.
-BROADCAST_ROWS = 400_000
+ROUNDS, TRIES = 4, 2
+#: A round that finds at most this share of the links of the one before is the last.
+LITTLE = 0.1
+#: Rows up to which a table of a few numbers each, and one of a key each, is sent to all executors (at most about 40 MB).
+BROADCAST_ROWS, BROADCAST_KEYS = 400_000, 1_000_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -53,24 +55,32 @@ def _stars(pairs: DataFrame) -> bool:
 Pairs = Callable[[DataFrame], DataFrame]
 
 
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """The rows of members(key, id), without repeats, of the buckets that hold several ids. Read twice; written."""
+    spread = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
+    keys = written(spread.select("key"), "shared-keys")
+    shuffles_done(members.sparkSession)
+    return written(members.join(sized(keys, BROADCAST_KEYS), "key", "left_semi").distinct(), "shared")
+
+
 def link(members: DataFrame, confirm: Pairs, compare: Pairs) -> DataFrame:
     """(id, component) of the items that confirmed links join; items without a link are not in it.
 
-    members(key, id): the buckets, without repeats; read twice. confirm(a, b) keeps the pairs that are links.
+    members(key, id): rows of shared buckets. confirm(a, b) keeps the pairs that are links, and may get a pair twice.
     compare(key, i, j, id, slot, component) gets blocks of members and returns candidate
     pairs (a, b) with a in slot i, b in slot j and different components.
 
     In a round, every bucket that still holds several components has one member as its
     head, and an item outside the head's component is compared with the TRIES heads with
     which it shares most buckets. What this joins needs no more comparison inside, so
-    that a large group of copies is soon one component. When a round joins nothing, or
+    that a large group of copies is soon one component. When a round joins little, or
     after ROUNDS, all pairs across components in the buckets left are compared, in
-    blocks, so that no link is lost.
+    blocks, so that no link is lost. Members of a bucket's largest component meet its
+    other members only, so that the blocks grow with what is left outside of it.
     """
-    sizes = written(members.groupBy("key").agg(F.count("id").alias("n")).filter("n > 1"), "sizes")
-    held = written(members.join(sizes, "key"), "held")
-    left, known = held.withColumn("component", F.col("id")), None
+    held, known, found = members, None, 0
     for number in range(ROUNDS + 1):
+        left = held.withColumn("component", F.col("id"))
         if known is not None:
             left = written(held.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
         order = F.col("id") if number == 0 else F.xxhash64("id", F.lit(number))
@@ -81,31 +91,48 @@ def link(members: DataFrame, confirm: Pairs, compare: Pairs) -> DataFrame:
         heads = written(heads.filter("lo < hi").select("key", "h.head", "h.c"), "heads")
         if heads.isEmpty():
             return components(members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)) if known is None else known
-        held = left = left.join(heads, "key")
+        left = written(left.join(heads, "key"), "left")
+        held = left.select("key", "id")
         if number == ROUNDS:
             break
         met = left.filter("component <> c").groupBy("id", "head").agg(F.count("key").alias("shared"))
         # an item is in a fixed number of buckets, and so has few heads
         best = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "head")), asc=False), 1, TRIES).alias("best"))
         near = written(confirm(best.select(F.col("id").alias("a"), F.explode("best.head").alias("b"))), "near")
-        if near.isEmpty():
+        before, found = found, near.count()
+        if found:
+            known = written(components(near if known is None else _as_links(known).unionByName(near.select("a", "b"))), "known")
+        if found <= before * LITTLE:
             break
-        known = written(components(near if known is None else _as_links(known).unionByName(near.select("a", "b"))), "known")
-        held = left.select("key", "id", "n")
-    rest = left.withColumn("slots", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rest = rest.withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))
-    rest = rest.select("key", "id", "component", "slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other"))
-    rest = rest.select("key", "id", "component", "slot", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
-    far = written(confirm(compare(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "far").select("a", "b")
+    if found:
+        left = written(held.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    far = written(confirm(compare(_blocks(left)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "far").select("a", "b")
     if known is not None and far.isEmpty():
         return known
     return components(far if known is None else _as_links(known).unionByName(far))
 
 
+def _blocks(left: DataFrame) -> DataFrame:
+    """(key, i, j, id, slot, component): the members of left(key, id, component) dealt to the pairs of slots that must meet.
+
+    The largest component of a bucket has slots of its own, behind those of the other members, which do not meet each other.
+    """
+    counts = left.groupBy("key", "component").agg(F.count("id").alias("n"))
+    most = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("n").alias("several")).filter("several > 1")
+    most = most.select("key", F.col("top.component").alias("largest"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("own"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("others"))
+    rest = left.select("key", "id", "component").join(written(most, "largest"), "key")
+    inside = F.col("component") == F.col("largest")
+    deal = F.xxhash64("id", F.lit("slot"))
+    rest = rest.withColumn("slot", F.when(inside, F.col("others") + F.pmod(deal, F.col("own"))).otherwise(F.pmod(deal, F.col("others"))).cast("int"))
+    meets = F.sequence(F.lit(0), F.when(inside, F.col("others") - 1).otherwise(F.col("own") + F.col("others") - 1))
+    rest = rest.select("key", "id", "component", "slot", F.explode(meets).alias("other"))
+    return rest.select("key", "id", "component", "slot", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
+
+
 def _as_links(labels: DataFrame) -> DataFrame:
     return labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
-def sized(small: DataFrame) -> DataFrame:
+def sized(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """small with a broadcast hint where its rows, of a few numbers each, are few; else it is joined by a shuffle."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+    return F.broadcast(small) if small.count() <= most else small

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import passes, written
-from weftline.llm.linking import link, sized
+from weftline.llm.linking import link, shared_buckets, sized
 
 MINIMA, ROWS, KEPT_BITS = 128, 5, 4
 BANDS = MINIMA // ROWS
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
         return block_pairs(rows.join(codes, "id"), lambda p, q: estimate(p, q) >= least, "planes")
 
     members = reps.select(F.explode("bands").alias("key"), "id")
-    linked = written(link(members, confirm, compare), "linked")
+    linked = written(link(shared_buckets(members), confirm, compare), "linked")
     joined = classes.join(linked, classes.rep == linked.id, "left").select(*named, F.coalesce("component", "rep").alias("component"))
     out = signed.join(written(joined, "class-components"), named, "left")
     alone = F.col("n_shingles") == 0
