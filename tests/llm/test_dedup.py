@@ -81,7 +81,7 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     texts = [" ".join(f"v{i // 8 * 100 + i % 8 * 3 + k}" for k in range(40)) for i in range(32)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     signed = minhash_dedup.sign
-    monkeypatch.setattr(minhash_dedup, "sign", lambda d, w: signed(d, w).selectExpr("doc_id", "n_shingles", "low", "high", "array(0L) as bands", "planes"))
+    monkeypatch.setattr(minhash_dedup, "sign", lambda d, w: signed(d, w).selectExpr("doc_id", "version", "n_shingles", "low", "high", "array(0L) as bands", "X'0000000000000000' as packed", "planes"))
     sets = word_sets(texts, 5)
     pairs = [(i, j) for i in range(32) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     want = roots(32, pairs)
@@ -89,6 +89,39 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     assert [r.component_id for r in minhash_dedup.near_duplicates(docs).orderBy("doc_id").collect()] == want
 
 
+def test_blocks_about_the_threshold(spark, monkeypatch):
+    # a large group of near copies of which few are links, and rows of one doc_id
+    from weftline.llm import linking
+
+    monkeypatch.setattr(linking, "BLOCK", 16)
+    monkeypatch.setattr(linking, "ROUNDS", 1)
+    rnd = random.Random(4)
+    base = [f"w{k}" for k in range(80)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for k in rnd.sample(range(80), rnd.randint(1, 4)):
+            words[k] = f"x{rnd.random()}"
+        texts.append(" ".join(words))
+    sets = word_sets(texts, 2)
+    pairs = [(i, j) for i in range(150) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.component_id for r in minhash_dedup.near_duplicates(docs, 2).orderBy("doc_id").collect()]
+    want = roots(150, pairs)
+    assert 0 < len(pairs) < 150 * 149 / 3 and len(set(want)) > 1
+    assert sum(x != y for x, y in zip(got, want, strict=True)) <= 1
+
+
+def test_one_row_of_a_group_stays(spark):
+    one, two = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, one, "m"), (1, one, "n"), (2, one + " end", "o"), (3, two, "p"), (3, one, "q"), (4, None, "r"), (4, None, "s"), (None, two, "t"), (5, "", "u"), (6, two + " more", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, version string")
+    kept = sorted(r.version for r in minhash_dedup.keep_one(docs).collect())
+    assert minhash_dedup.keep_one(docs).columns == docs.columns
+    assert kept in (sorted("mprstu"), sorted("nprstu"))
+    assert minhash_dedup.keep_one(docs.limit(0)).count() == 0
+
+
 def test_empty_and_null_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash_dedup.near_duplicates(empty).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from functools import cache
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one numpy pass over several documents may hold.
 PASS_CHARS = 1 << 20
+#: Folder of each table that ``written`` made.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,7 +43,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read back: lineage ends here and survives lost executors."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[back] = path
+    return back
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes the folders of tables that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        path = _PATHS.pop(df, None) if df is not None else None
+        if path:
+            jvm = df.sparkSession._jvm
+            there = jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def shuffles_done(spark: SparkSession) -> None:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import written
 from weftline.llm.linking import link, shared_buckets
-from weftline.llm.minhash_dedup import block_pairs, mix
+from weftline.llm.minhash_dedup import _binary, _first_shared, block_links, mix
 
 BITS, BAND_BITS, BANDS = 512, 14, 36
 CONFIDENCE = 5.0
@@ -82,7 +82,7 @@ def bands(packed: np.ndarray, dim: int) -> np.ndarray:
     return mix(key + (np.arange(BANDS, dtype=np.uint64) << np.uint64(32)) + np.uint64(dim << 40)).astype(np.int64)
 
 
-_CODED = "vec_id long, low long, high long, vector binary, code binary, factor float, bands array<long>"
+_CODED = "vec_id long, low long, high long, vector binary, code binary, factor float, bands array<long>, packed binary"
 
 
 def code(vectors: DataFrame) -> DataFrame:
@@ -91,18 +91,19 @@ def code(vectors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = [unit(v) for v in batch.column(1).to_pylist()]
-            out: list[list] = [[None] * len(units) for _ in range(6)]
+            out: list[list] = [[None] * len(units) for _ in range(7)]
             for dim in sorted({len(u) for u in units if u is not None}):
                 at = [i for i, u in enumerate(units) if u is not None and len(u) == dim]
                 x = np.stack([units[i] for i in at]) + 0.0
                 _, signs, factors = encode(x)
                 packed = np.packbits(signs, axis=1)
+                keys = bands(packed, dim)
                 named = x.view(np.uint64) + mix(np.arange(dim, dtype=np.uint64) + np.uint64(1))
                 low, high = mix(named).sum(axis=1, dtype=np.uint64).astype(np.int64), mix(named ^ np.uint64(0xABCDEF)).sum(axis=1, dtype=np.uint64).astype(np.int64)
-                for column, values in zip(out, (low.tolist(), high.tolist(), [v.tobytes() for v in x], [p.tobytes() for p in packed], factors.tolist(), bands(packed, dim).tolist()), strict=True):
+                for column, values in zip(out, (low.tolist(), high.tolist(), [v.tobytes() for v in x], [p.tobytes() for p in packed], factors.tolist(), keys.tolist(), [k.tobytes() for k in keys]), strict=True):
                     for i, v in zip(at, values, strict=True):
                         column[i] = v
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float32(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float32(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[x.split()[0] for x in _CODED.split(", ")])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, _CODED)
@@ -167,19 +168,37 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.95) -> DataFrame:
     named = ["low", "high"]
     classes = written(full.groupBy(*named).agg(F.min("vec_id").alias("rep"), F.count("vec_id").alias("copies")), "classes")
     whole = full.join(classes, [full[c] == classes[c] for c in named] + [full.vec_id == classes.rep], "left_semi")
-    reps = written(whole.select(F.col("vec_id").alias("id"), "vector", "code", "factor", "bands").dropDuplicates(["id"]), "reps")
-    codes = reps.select("id", "code")
+    reps = written(whole.select(F.col("vec_id").alias("id"), "vector", "code", "factor", "bands", "packed").dropDuplicates(["id"]), "reps")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = pairs.join(reps.select("id", "vector").toDF("a", "x"), "a").join(reps.select("id", "vector", "code", "factor").toDF("b", "y", "c", "f"), "b")
         return both.select("a", "b", "x", "y", "c", "f").mapInArrow(_confirm(similarity), "a long, b long")
 
-    # differing signs of two vectors at the threshold: their share is the angle's of a half turn
-    share = np.arccos(min(1.0, similarity)) / np.pi
-    most = BITS * share + 6 * np.sqrt(BITS * share * (1 - share))
+    def linked_rows(table: pa.Table):
+        raw = table.column(6).to_pylist()
+        dims = np.fromiter(map(len, raw), np.int64, len(raw))
+        codes, keys, factors = _binary(table.column(7), np.uint8), _binary(table.column(9), np.int64), np.clip(table.column(8).to_numpy(), 1e-3, 1)
+        width = CONFIDENCE * np.sqrt(np.maximum(0, 1 - factors**2) / factors**2 / (BITS - 1))
+
+        def check(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+            good = np.zeros(len(a), bool)
+            same = np.flatnonzero(dims[a] == dims[b])
+            same = same[_first_shared(keys, a[same], b[same], key[same])]
+            for at in np.array_split(same, len(same) // 4096 + 1):
+                for size in np.unique(dims[a[at]]):
+                    k = at[dims[a[at]] == size]
+                    x, y = (np.frombuffer(b"".join(raw[r] for r in rows), np.float64).reshape(len(rows), -1) for rows in (a[k], b[k]))
+                    signs = 2 * np.unpackbits(codes[b[k]], axis=1)[:, :BITS].astype(np.float32) - 1
+                    bound = ((x.astype(np.float32) @ rotation(x.shape[1])) * signs).sum(axis=1) / np.sqrt(BITS) / factors[b[k]] + width[b[k]]
+                    near = bound >= similarity
+                    good[k[near]] = (x[near] * y[near]).sum(axis=1) >= similarity
+            return good
+
+        return check
 
     def compare(rows: DataFrame) -> DataFrame:
-        return block_pairs(rows.join(codes, "id"), lambda p, q: np.bitwise_count(p ^ q).sum(axis=1) <= most, "code")
+        info = reps.select("id", "vector", "code", "factor", "packed")
+        return block_links(rows.join(info, "id"), ["vector", "code", "factor", "packed"], linked_rows)
 
     linked = written(link(shared_buckets(reps.select(F.explode("bands").alias("key"), "id")), confirm, compare), "linked")
     members = linked.join(classes.select(F.col("rep").alias("id"), "copies"), "id").join(reps.select("id", "vector"), "id")

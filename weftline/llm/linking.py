@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import shuffles_done, written
+from weftline.llm.common import forget, shuffles_done, written
 
 #: Members of a bucket that one block holds; a larger bucket is compared block by block.
 BLOCK = 256
+#: Weight that the members of a block may add up to, about.
+WEIGHT = 1 << 20
 #: Rounds of comparison with heads, and heads that an item is compared with in each.
-ROUNDS, TRIES = 4, 2
+ROUNDS, TRIES = 4, 1
 #: A round that finds at most this share of the links of the one before is the last.
 LITTLE = 0.1
 #: Rows up to which a table of a few numbers each, and one of a key each, is sent to all executors (at most about 40 MB).
@@ -40,7 +42,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        pairs = written(small.distinct(), "links")
+        last, pairs = pairs, written(small.distinct(), "links")
+        forget(last, lowest)
     tops = pairs.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(tops)
 
@@ -60,15 +63,19 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     spread = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
     keys = written(spread.select("key"), "shared-keys")
     shuffles_done(members.sparkSession)
-    return written(members.join(sized(keys, BROADCAST_KEYS), "key", "left_semi").distinct(), "shared")
+    shared = written(members.join(sized(keys, BROADCAST_KEYS), "key", "left_semi").distinct(), "shared")
+    forget(keys)
+    shuffles_done(members.sparkSession)
+    return shared
 
 
-def link(members: DataFrame, confirm: Pairs, compare: Pairs) -> DataFrame:
+def link(members: DataFrame, confirm: Pairs, compare: Pairs, weights: DataFrame | None = None) -> DataFrame:
     """(id, component) of the items that confirmed links join; items without a link are not in it.
 
     members(key, id): rows of shared buckets. confirm(a, b) keeps the pairs that are links, and may get a pair twice.
-    compare(key, i, j, id, slot, component) gets blocks of members and returns candidate
-    pairs (a, b) with a in slot i, b in slot j and different components.
+    compare(key, i, j, id, slot, component) gets blocks of members and returns the links
+    (a, b) with a in slot i, b in slot j and different components, or so many of them that
+    all are joined. weights(id, weight) bounds blocks by the weight of their members, too.
 
     In a round, every bucket that still holds several components has one member as its
     head, and an item outside the head's component is compared with the TRIES heads with
@@ -80,9 +87,7 @@ def link(members: DataFrame, confirm: Pairs, compare: Pairs) -> DataFrame:
     """
     held, known, found = members, None, 0
     for number in range(ROUNDS + 1):
-        left = held.withColumn("component", F.col("id"))
-        if known is not None:
-            left = written(held.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+        left = _placed(held, known)
         order = F.col("id") if number == 0 else F.xxhash64("id", F.lit(number))
         heads = left.groupBy("key").agg(
             F.min(F.struct(order.alias("o"), F.col("id").alias("head"), F.col("component").alias("c"))).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")
@@ -91,35 +96,46 @@ def link(members: DataFrame, confirm: Pairs, compare: Pairs) -> DataFrame:
         heads = written(heads.filter("lo < hi").select("key", "h.head", "h.c"), "heads")
         if heads.isEmpty():
             return components(members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)) if known is None else known
-        left = written(left.join(heads, "key"), "left")
-        held = left.select("key", "id")
+        last, held = held, written(left.join(heads, "key"), "left")
+        forget(heads, left if known is not None else None, last if number else None)
         if number == ROUNDS:
             break
-        met = left.filter("component <> c").groupBy("id", "head").agg(F.count("key").alias("shared"))
+        met = held.filter("component <> c").groupBy("id", "head").agg(F.count("key").alias("shared"))
         # an item is in a fixed number of buckets, and so has few heads
         best = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "head")), asc=False), 1, TRIES).alias("best"))
         near = written(confirm(best.select(F.col("id").alias("a"), F.explode("best.head").alias("b"))), "near")
         before, found = found, near.count()
         if found:
             known = written(components(near if known is None else _as_links(known).unionByName(near.select("a", "b"))), "known")
+        shuffles_done(members.sparkSession)
         if found <= before * LITTLE:
             break
-    if found:
-        left = written(held.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-    far = written(confirm(compare(_blocks(left)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "far").select("a", "b")
+    far = written(compare(written(_blocks(_placed(held, known), weights), "blocks")).select("a", "b"), "far")
     if known is not None and far.isEmpty():
         return known
     return components(far if known is None else _as_links(known).unionByName(far))
 
 
-def _blocks(left: DataFrame) -> DataFrame:
+def _placed(held: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(key, id, component) of held(key, id, ...); an item that is not known is its own component."""
+    held = held.select("key", "id")
+    if known is None:
+        return held.withColumn("component", F.col("id"))
+    return written(held.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+
+
+def _blocks(left: DataFrame, weights: DataFrame | None) -> DataFrame:
     """(key, i, j, id, slot, component): the members of left(key, id, component) dealt to the pairs of slots that must meet.
 
     The largest component of a bucket has slots of its own, behind those of the other members, which do not meet each other.
     """
-    counts = left.groupBy("key", "component").agg(F.count("id").alias("n"))
+    weighed = left.withColumn("weight", F.lit(1)) if weights is None else left.join(weights, "id")
+    # a member counts for 1 / BLOCK of a slot, and for its weight's share of WEIGHT
+    counts = weighed.groupBy("key", "component").agg(F.greatest(F.count("id") / BLOCK, F.sum("weight") / WEIGHT).alias("n"))
     most = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("n").alias("several")).filter("several > 1")
-    most = most.select("key", F.col("top.component").alias("largest"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("own"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("others"))
+    most = most.select("key", F.col("top.component").alias("largest"), F.ceil("top.n").cast("int").alias("own"), F.ceil(F.col("all") - F.col("top.n")).cast("int").alias("others"))
+    # a sum of shares may come out a little above or at a whole number
+    most = most.withColumns({"own": F.greatest("own", F.lit(1)), "others": F.greatest("others", F.lit(1))})
     rest = left.select("key", "id", "component").join(written(most, "largest"), "key")
     inside = F.col("component") == F.col("largest")
     deal = F.xxhash64("id", F.lit("slot"))
