@@ -9,7 +9,8 @@ above (unlabelled to positive) with its confidence width. A one-layer network th
 minimises prior * risk(positives as 1) + max(0, risk(unlabelled as 0) - prior *
 risk(positives as 0)); where that difference turns negative its ascent step is taken.
 
-Only text enters a score. Defined results: null and empty texts have zero features and
+Only text enters a score. Characters are classed in parts of PART, so that a very long
+text takes memory for its words only (some 100 bytes each). Defined results: null and empty texts have zero features and
 are scored as such; repeated rows are each scored; with no positive every score is 0.5.
 """
 
@@ -30,6 +31,8 @@ from weftline.llm.common import fold, spread_sample
 POSITIVES, UNLABELLED = 3000, 6000
 HIDDEN, EPOCHS, BATCH, RATE, PENALTY = 24, 60, 500, 4e-3, 1e-4
 CLASSES = 9
+#: Characters of a text that are classed at once.
+PART = 1 << 18
 
 
 def _class_table() -> np.ndarray:
@@ -64,13 +67,15 @@ def features(text: str | None) -> np.ndarray:
     out = np.zeros(N_FEATURES, np.float32)
     if not text:
         return out
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    kind = _TABLE[np.minimum(code, 0xFFFF)].astype(np.int64)
-    n = len(kind)
-    share = np.bincount(kind, minlength=CLASSES) / n
-    out[:CLASSES] = np.sqrt(share)
+    n, classes, moves = len(text), np.zeros(CLASSES), np.zeros(CLASSES * CLASSES)
+    for lo in range(0, n, PART):
+        # with the character after the part, for the move to it
+        code = np.frombuffer(text[lo : lo + PART + 1].encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = _TABLE[np.minimum(code, 0xFFFF)].astype(np.int64)
+        classes += np.bincount(kind[:PART], minlength=CLASSES)
+        moves += np.bincount(kind[:-1] * CLASSES + kind[1:], minlength=CLASSES * CLASSES)
+    out[:CLASSES] = np.sqrt(classes / n)
     if n > 1:
-        moves = np.bincount(kind[:-1] * CLASSES + kind[1:], minlength=CLASSES * CLASSES)
         out[CLASSES : CLASSES + CLASSES**2] = np.sqrt(moves / (n - 1))
     words = text.split()
     lines = [x for x in text.split("\n") if x.strip()]
@@ -201,8 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return fit(*(x[np.lexsort(x.T)] for x in sets))
 
 
-def score(docs: DataFrame, network: Network | None) -> DataFrame:
-    """Every row of docs with ``score`` (0 to 1) in place of columns of that name."""
+def score(docs: DataFrame, network: Network | None, into: str = "score") -> DataFrame:
+    """Every row of docs with column ``into`` (0 to 1), in place of one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(network)  # of fixed size
 
     @pandas_udf("double")
@@ -211,9 +216,9 @@ def score(docs: DataFrame, network: Network | None) -> DataFrame:
         for texts in batches:
             yield pd.Series(np.full(len(texts), 0.5) if own is None or not len(texts) else own.score(_stack(texts)))
 
-    return docs.withColumn("score", run("text"))
+    return docs.withColumn(into, run("text"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
-    """Trains on labels.quality = 1 outside the held-out fold and unlabelled text, and scores all docs: their columns and score."""
-    return score(docs, train(docs, labels, positives, unlabelled)[0])
+def quality(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, into: str = "score") -> DataFrame:
+    """Trains on labels.quality = 1 outside the held-out fold and unlabelled text, and scores all docs: their columns and ``into``."""
+    return score(docs, train(docs, labels, positives, unlabelled)[0], into)
