@@ -18,13 +18,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from weftline.llm.common import fold, spread_sample
+from weftline.llm.common import fold, free_name, spread_sample
 
 ORDERS = (2, 3, 4)
 BUCKET_BITS, WIDTH = 16, 16
@@ -162,14 +161,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Every row of docs with lang_pred, score and rejected in place of columns of those names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size for a language
 
-    @pandas_udf("lang_pred string, score double, rejected boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @arrow_udf("lang_pred string, score double, rejected boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for texts in batches:
-            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
+            told = list(zip(*(own.predict(t.as_py()) for t in texts), strict=True)) or [[]] * 3
+            yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(told, (pa.string(), pa.float64(), pa.bool_()), strict=True)], names=["lang_pred", "score", "rejected"])
 
-    out = docs.withColumn("_told", run("text"))
-    return out.withColumns({k: F.col("_told")[k] for k in ("lang_pred", "score", "rejected")}).drop("_told")
+    told = free_name(docs, "told")
+    out = docs.withColumn(told, run("text"))
+    return out.withColumns({k: F.col(told)[k] for k in ("lang_pred", "score", "rejected")}).drop(told)
 
 
 def identify(docs: DataFrame, bound: int = SAMPLE) -> DataFrame:

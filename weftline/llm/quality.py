@@ -19,11 +19,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from weftline.llm.common import fold, spread_sample
 
@@ -194,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([x.tobytes() for x in _stack(batch.column(1).to_pylist())], pa.binary())
+            found = pa.array([x.tobytes() for x in _stack(t.as_py() for t in batch.column(1))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["trusted", "found"])
 
     good = labels.filter((F.col("quality") == 1) & (fold("doc_id", 5) != 0)).select("doc_id").distinct()
@@ -210,11 +209,12 @@ def score(docs: DataFrame, network: Network | None, into: str = "score") -> Data
     """Every row of docs with column ``into`` (0 to 1), in place of one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(network)  # of fixed size
 
-    @pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for texts in batches:
-            yield pd.Series(np.full(len(texts), 0.5) if own is None or not len(texts) else own.score(_stack(texts)))
+            found = np.full(len(texts), 0.5) if own is None or not len(texts) else own.score(_stack(t.as_py() for t in texts))
+            yield pa.array(found, pa.float64())
 
     return docs.withColumn(into, run("text"))
 

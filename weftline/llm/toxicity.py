@@ -22,11 +22,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from weftline.llm.common import fold, forget, passes, spread_sample, written
 
@@ -43,9 +42,13 @@ _SPACES = re.compile(r"\s+")
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _plain(text: str | None) -> str:
+    return " " + _SPACES.sub(" ", (text or "").lower()).strip() + " "
+
+
 def buckets(text: str | None) -> np.ndarray:
     """The distinct hash buckets of the text's n-grams, ascending."""
-    text = " " + _SPACES.sub(" ", (text or "").lower()).strip() + " "
+    text = _plain(text)
     if len(text) <= PART:
         return np.unique(_ngrams(text))
     seen = np.zeros(1 << BUCKET_BITS, bool)
@@ -84,7 +87,11 @@ class Model:
         self.weights, self.intercept = weights.astype(np.float32), float(intercept)
 
     def score(self, text: str | None) -> float:
-        found = buckets(text)
+        text, seen = _plain(text), []
+        for lo in range(0, len(text), PART):
+            found = _ngrams(text[lo : lo + PART + max(ORDERS) - 1])
+            seen.append(np.unique(found[self.weights[found] != 0]))
+        found = seen[0] if len(seen) == 1 else np.unique(np.concatenate(seen))
         return float(1 / (1 + np.exp(-(self.intercept + float(self.weights[found].sum(dtype=np.float64))))))
 
 
@@ -181,11 +188,11 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
     """Every row of docs with column ``into`` (0 to 1), in place of one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: a weight a bucket
 
-    @pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for texts in batches:
-            yield pd.Series([own.score(t) for t in texts], dtype="float64")
+            yield pa.array([own.score(t.as_py()) for t in texts], pa.float64())
 
     return docs.withColumn(into, run("text"))
 
