@@ -28,18 +28,18 @@ def test_queries_over_all_segments(spark, tmp_path):
         want[n.path, n.seq] = "Pending" if o.translation is None else "ContextChanged" if o.context_hash != n.current else "Translated"
     assert len({(n.path, n.source_hash) for n in new}) < len(new)
     run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
-    assert {(r.path, r.seq): r.status for r in run("reconcile_status_all")} == want
+    assert {(r.path, r.seq): r.status for r in run("reconcile_status")} == want
     counts, total = Counter(want.values()), len(want)
-    (s,) = run("status_summary_all")
+    (s,) = run("status_summary")
     assert (s.total, s.translated, s.pending, s.contextchanged, s.stale, s.glossarystale) == (total, counts["Translated"], counts["Pending"], counts["ContextChanged"], 0, 0)
     assert abs(s.percent - 100 * counts["Translated"] / total) < 1e-5 and s.files == len({n.path for n in new})
-    assert [tuple(r) for r in run("status_check_all")] == [(total - counts["Translated"], False)]
-    assert dict(tuple(r) for r in run("status_counts_all")) == dict(counts)
+    assert [tuple(r) for r in run("status_check")] == [(total - counts["Translated"], False)]
+    assert dict(tuple(r) for r in run("status_counts")) == dict(counts)
     open_ = Counter(p for (p, _), v in want.items() if v != "Translated")
-    assert {r.path: r.pending for r in run("pending_per_file_all")} == {i: open_[i] for i in range(len(TEXTS) * 4)}
-    assert {(r.path, r.seq) for r in run("high_priority_all")} == {k for k, v in want.items() if v == "Pending"}
+    assert {r.path: r.pending for r in run("pending_per_file")} == {i: open_[i] for i in range(len(TEXTS) * 4)}
+    assert {(r.path, r.seq) for r in run("high_priority")} == {k for k, v in want.items() if v == "Pending"}
     blocks = defaultdict(list)
     for n in new:
         if want[n.path, n.seq] != "Translated":
             blocks[n.path, n.block_idx].append(n.source)
-    assert {(r.path, r.block_idx): (r.n, r.asked) for r in run("group_by_block_all")} == {k: (len(v), " ".join(v)) for k, v in blocks.items()}
+    assert {(r.path, r.block_idx): (r.n, r.asked) for r in run("group_by_block")} == {k: (len(v), " ".join(v)) for k, v in blocks.items()}

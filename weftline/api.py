@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import coverage, evaluate, glossary, orphans, reconcile, reconstruct, segments, translate
+from weftline.functions.hashing import STORED, Store
+from weftline.operators import coverage, evaluate, glossary, orphans, reconcile, reconstruct, segments, selection, translate
 from weftline.parsers.registry import parse_files
 from weftline.sources.project import select_parser
 
@@ -16,16 +17,29 @@ class Engine:
     """A project's files, state, glossary and sources as tables.
 
     files(path, source); state as of weftline.sources.state.read_state; glossary(term,
-    translation, note); sources as of weftline.sources.project.sources_table.
+    translation, note); sources as of weftline.sources.project.sources_table. store names
+    the hashes that state was written with: those of state files unless told otherwise.
+    rules are table rules (weftline.operators.selection), which clear the flag of cells.
+    close() frees the parsed blocks, which several operations share.
     """
 
-    def __init__(self, spark: SparkSession, files: DataFrame, state: DataFrame, terms: DataFrame, sources: DataFrame, target_lang: str = "ko"):
-        self.spark, self.state, self.terms, self.target_lang = spark, state, terms, target_lang
+    def __init__(
+        self, spark: SparkSession, files: DataFrame, state: DataFrame, terms: DataFrame, sources: DataFrame, target_lang: str = "ko", store: Store = STORED, rules: DataFrame | None = None
+    ):
+        self.spark, self.state, self.terms, self.target_lang, self.store = spark, state, terms, target_lang, store
         self.files = select_parser(files, sources)
-        self.blocks = parse_files(self.files).persist()
+        parsed = parse_files(self.files)
+        if rules is not None:
+            cells = parsed.filter("role_kind = 'table_cell'")
+            ruled = selection.apply_table_rules(cells, rules).select(*parsed.columns)
+            parsed = parsed.filter("role_kind is null or role_kind <> 'table_cell'").unionByName(ruled)
+        self.blocks = parsed.persist()
+
+    def close(self) -> None:
+        self.blocks.unpersist()
 
     def segments(self, status: str = "all") -> DataFrame:
-        rows = reconcile.reconcile_status(segments.translatable_segments(self.blocks), self.state, self.terms)
+        rows = reconcile.reconcile_status(segments.translatable_segments(self.blocks, self.store), self.state, self.terms, self.store)
         return reconcile.segments_filter(rows, status)
 
     def status(self) -> DataFrame:
@@ -43,8 +57,8 @@ class Engine:
 
     def orphans(self) -> DataFrame:
         gone = orphans.orphan_states(self.state, self.files)
-        fresh = orphans.stateless_files(self.files, self.state).select("path", F.xxhash64("source").alias("file_hash"))
-        new = fresh.join(segments.translatable_segments(self.blocks).select("path", "source_hash"), "path", "left")
+        fresh = orphans.stateless_files(self.files, self.state).select("path", self.store.content(F.col("source")).alias("file_hash"))
+        new = fresh.join(segments.translatable_segments(self.blocks, self.store).select("path", "source_hash"), "path", "left")
         return orphans.orphan_report(gone, orphans.match_orphans(new, gone.select("path", "file_hash", "source_hash")))
 
     def evaluate(self) -> DataFrame:
@@ -59,9 +73,9 @@ class Engine:
         return translate.translate_evaluate_retry(asked, provider, check, save, source_lang, self.target_lang, terms, max_retries)
 
     def outputs(self, rows: DataFrame) -> DataFrame:
-        """(path, output) with the translations of rows(path, section_idx, block_idx, seq, source, translation); lines under and over translated titles are drawn anew."""
-        lines = reconstruct.underline_splices(self.blocks, reconstruct.join_translations(rows))
-        splices = reconstruct.collect_splices(self.blocks, rows).unionByName(lines)
+        """(path, output) with the translations of rows(path, section_idx, block_idx, seq, source, translation); lines under and over translated titles, and tables with translated cells, are drawn anew."""
+        texts = reconstruct.join_translations(rows)
+        splices = reconstruct.collect_splices(self.blocks, rows).unionByName(reconstruct.underline_splices(self.blocks, texts)).unionByName(reconstruct.table_splices(self.blocks, texts))
         return reconstruct.apply_splices(self.files, splices).select("path", "output")
 
     def set_terms(self, changes: DataFrame) -> None:

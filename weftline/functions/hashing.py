@@ -6,7 +6,8 @@ state files: XXH64 with seed 0 over UTF-8, as signed 64-bit numbers; they use an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, Window
@@ -15,6 +16,14 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 
+@dataclass(frozen=True)
+class Store:
+    """The hashes by which a store names texts and contexts."""
+
+    content: Callable[[Column], Column]
+    context: Callable[[Column], Column]
+
+
 def content_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
@@ -30,6 +39,11 @@ def context_hash(hashes: Column, path: str = "path", order: str = "seq") -> Colu
     return F.xxhash64(F.coalesce(before, F.lit(0)), F.coalesce(after, F.lit(0)))
 
 
+def stored_context_hash(hashes: Column, path: str = "path", order: str = "seq") -> Column:
+    """context_hash as stored state files have it."""
+    return compat_context(*neighbours(hashes, path, order))
+
+
 @pandas_udf(LongType())
 def compat_hash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import xxhash
@@ -66,3 +80,7 @@ def fnv1a64(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
     for batch in texts:
         yield pd.Series([None if t is None else digest(t) for t in batch], dtype="Int64")
+
+
+#: Hashes of our own, and those of stored state files.
+NATIVE, STORED = Store(content_hash, context_hash), Store(compat_hash, stored_context_hash)

@@ -93,15 +93,15 @@ def strip_role_headers(text: Column) -> Column:
 
 
 def heading_slug(text: Column) -> Column:
-    """ASCII slug: lower-case letters and digits, every other run one hyphen, brace groups skipped."""
-    plain = F.regexp_replace(text, r"\{[^}]*\}", "")
+    """ASCII slug: lower-case letters and digits, every other run one hyphen; marks ``*_`` and back quotes vanish, as do brace groups, an open one to the end."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"\{[^}]*(\}|$)", ""), "[`*_]", "")
     return F.regexp_replace(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def file_slug(name: Column) -> Column:
     """As heading_slug, with a hyphen also where a camel-case word or a run of capitals ends."""
     cut = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1-$2"), "([A-Z]+)([A-Z][a-z])", "$1-$2")
-    return heading_slug(cut)
+    return F.regexp_replace(F.regexp_replace(F.lower(cut), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 # The East Asian wide ranges, as first and last code point.
@@ -117,8 +117,8 @@ WIDE = (
     (0xFE30, 0xFE4F),
     (0xFF00, 0xFF60),
     (0xFFE0, 0xFFE6),
-    (0x1F300, 0x1FAFF),
-    (0x20000, 0x3FFFD),
+    (0x20000, 0x2FFFD),
+    (0x30000, 0x3FFFD),
 )
 
 

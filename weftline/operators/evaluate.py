@@ -48,9 +48,11 @@ _LITERAL = r"``(?:(?!``).)*``"
 
 
 def rst_named_refs(text: Column) -> Column:
-    """Named references as written, each once: a quoted phrase or a word with one underscore after it, outside literals."""
+    """Named references outside literals, each once: (check, shown). A quoted phrase is checked without its quotes, so that it may get an alias; a word is checked with its underscore."""
     prose = F.regexp_replace(text, _LITERAL, "")
-    return F.array_distinct(F.regexp_extract_all(prose, F.lit(f"({_NAMED})"), F.lit(1)))
+    written = F.array_distinct(F.regexp_extract_all(prose, F.lit(f"({_NAMED})"), F.lit(1)))
+    phrase = lambda r: F.regexp_extract(r, "^`([^`]+)`_$", 1)
+    return F.transform(written, lambda r: F.struct(F.when(r.startswith("`"), phrase(r)).otherwise(r).alias("check"), r.alias("shown")))
 
 
 def rst_anon_refs(text: Column) -> Column:
@@ -58,8 +60,8 @@ def rst_anon_refs(text: Column) -> Column:
 
 
 def eval_link_rst(source: Column, translation: Column) -> Column:
-    lost = F.filter(rst_named_refs(source), lambda r: ~F.contains(translation, r))
-    named = _each(lost, "link", "link_broken", lambda r: F.concat(F.lit("the reference names its target and must stay: "), r))
+    lost = F.filter(rst_named_refs(source), lambda r: ~F.contains(translation, r["check"]))
+    named = _each(lost, "link", "link_broken", lambda r: F.concat(F.lit("the reference names its target and must stay: "), r["shown"]))
     counts = rst_anon_refs(source), rst_anon_refs(translation)
     return F.concat(named, _when(counts[0] != counts[1], _issue("link", "link_broken", F.format_string("anonymous references: %d in the source, %d in the translation", *counts))))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Share of a new file's distinct hashes that an orphan must hold to count as its earlier self.
 OVERLAP = 0.5
@@ -59,7 +60,8 @@ def match_orphans(new: DataFrame, orphans: DataFrame) -> DataFrame:
                 out.append((path, best))
         return pd.DataFrame(out, columns=["path", "orphan_path"])
 
-    return grouped.groupBy("component").applyInPandas(claim, "path string, orphan_path string")
+    kinds = StructType([StructField(c, edges.schema[c].dataType) for c in ("path", "orphan_path")])
+    return grouped.groupBy("component").applyInPandas(claim, kinds)
 
 
 def adopt_renamed(states: DataFrame, renames: DataFrame) -> DataFrame:

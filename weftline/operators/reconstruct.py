@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,12 @@ aggregate(array_sort(splices), named_struct('pos', 0L, 'out', cast('' as binary)
      concat(acc.out, substring(raw, cast(acc.pos + 1 as int), cast(x.start - acc.pos as int)), encode(x.text, 'utf-8')))),
   acc -> decode(concat(acc.out, substring(raw, cast(acc.pos + 1 as int))), 'utf-8'))
 """
+#: The same where no splice overlaps the one before: every piece is cut once, and all are joined once.
+_PIECES = """
+decode(unhex(concat(array_join(transform(pieces, (x, i) -> concat(
+    hex(substring(raw, cast(if(i = 0, 0L, pieces[i - 1].stop) + 1 as int), cast(x.start - if(i = 0, 0L, pieces[i - 1].stop) as int))),
+    hex(encode(x.text, 'utf-8')))), ''), hex(substring(raw, cast(element_at(pieces, -1).stop + 1 as int))))), 'utf-8')
+"""
 
 
 def join_translations(segments: DataFrame) -> DataFrame:
@@ -35,8 +42,10 @@ def collect_splices(blocks: DataFrame, segments: DataFrame) -> DataFrame:
 def apply_splices(files: DataFrame, splices: DataFrame) -> DataFrame:
     """files(path, source) with output: source with the splices of its path put in, by byte offsets."""
     grouped = splices.groupBy("path").agg(F.collect_list(F.struct("start", "ord", "stop", "text")).alias("splices"))
-    joined = files.join(grouped, "path", "left").withColumn("raw", F.encode("source", "utf-8"))
-    return joined.withColumn("output", F.when(F.col("splices").isNull(), F.col("source")).otherwise(F.expr(_SPLICE))).drop("splices", "raw")
+    joined = files.join(grouped, "path", "left").withColumns({"raw": F.encode("source", "utf-8"), "pieces": F.array_sort("splices")})
+    overlap = F.expr("exists(sequence(1, size(pieces)), i -> i < size(pieces) and pieces[i].start < pieces[i - 1].stop)")
+    told = F.when(F.col("splices").isNull(), F.col("source")).when(overlap, F.expr(_SPLICE)).otherwise(F.expr(_PIECES))
+    return joined.withColumn("output", told).drop("splices", "raw", "pieces")
 
 
 def setext_underline(mark: Column, title: Column) -> Column:
@@ -58,6 +67,24 @@ def underline_splices(blocks: DataFrame, texts: DataFrame) -> DataFrame:
     return part("under").unionByName(part("over"))
 
 
+def table_splices(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """Splices that draw a table anew in which a cell is translated: blocks with role_kind table_anchor, and table_cell for its cells; a table whose cells and geometry disagree stays."""
+    from weftline.parsers.rst import redraw_table
+
+    @F.pandas_udf("string")
+    def redrawn(sources: pd.Series, cells: pd.Series) -> pd.Series:
+        return pd.Series([redraw_table(s, list(c)) for s, c in zip(sources, cells, strict=True)], dtype="object")
+
+    place = ["path", "section_idx", "block_idx"]
+    cells = blocks.filter("role_kind = 'table_cell' and span_start is null").join(texts, place, "left")
+    told = F.struct("section_idx", "block_idx", F.coalesce("text", "raw_content").alias("t"))
+    laid = cells.groupBy("path", "table_idx").agg(F.transform(F.array_sort(F.collect_list(told)), lambda x: x["t"]).alias("cells"), F.sum("n_translated").alias("n"))
+    anchors = blocks.filter("role_kind = 'table_anchor' and span_start is not null").join(laid.filter("n > 0"), ["path", "table_idx"])
+    order = F.col("section_idx").cast("long") * 1_000_000 + F.col("block_idx")
+    drawn = anchors.select("path", F.col("span_start").cast("long").alias("start"), order.alias("ord"), F.col("span_end").cast("long").alias("stop"), redrawn("raw_content", "cells").alias("text"))
+    return drawn.filter("text is not null")
+
+
 def changed_outputs(new: DataFrame, current: DataFrame) -> DataFrame:
     """Rows of new(path, output) whose bytes differ from current(path, output), or that are not there yet."""
     old = current.select("path", F.col("output").alias("_old"))

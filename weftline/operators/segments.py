@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.functions.hashing import content_hash
+from weftline.functions.hashing import NATIVE, Store
 
 # Block types that are never translated.
 OPAQUE = ("code_block", "thematic_break", "html_block")
@@ -19,7 +19,7 @@ def line_blocks(files: DataFrame) -> DataFrame:
     return lines.select("path", F.lit(0).alias("section_idx"), "block_idx", F.lit("paragraph").alias("block_type"), "raw_content", F.lit(True).alias("translatable"))
 
 
-def all_segments(blocks: DataFrame) -> DataFrame:
+def all_segments(blocks: DataFrame, store: Store = NATIVE) -> DataFrame:
     """Every block's sentences: path, section_idx, block_idx, seg_idx, segment_id, source, source_hash, block_type, translatable."""
     cut = blocks.select("path", "section_idx", "block_idx", "block_type", "translatable", F.posexplode(T.split_sentences(F.col("raw_content"))).alias("seg_idx", "source"))
     return cut.select(
@@ -29,7 +29,7 @@ def all_segments(blocks: DataFrame) -> DataFrame:
         "seg_idx",
         T.segment_id(F.col("section_idx"), F.col("block_idx"), F.col("seg_idx")).alias("segment_id"),
         "source",
-        content_hash(F.col("source")).alias("source_hash"),
+        store.content(F.col("source")).alias("source_hash"),
         "block_type",
         "translatable",
         # document order as one number: comparable within a file
@@ -37,9 +37,9 @@ def all_segments(blocks: DataFrame) -> DataFrame:
     )
 
 
-def translatable_segments(blocks: DataFrame) -> DataFrame:
+def translatable_segments(blocks: DataFrame, store: Store = NATIVE) -> DataFrame:
     """Segments of blocks whose flag is set; the block's type does not matter here."""
-    return all_segments(blocks.filter("translatable")).drop("translatable")
+    return all_segments(blocks.filter("translatable"), store).drop("translatable")
 
 
 def type_translatable(block_type) -> F.Column:

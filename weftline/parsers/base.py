@@ -32,6 +32,8 @@ class Block:
     mark: str | None = None
     under: tuple[int, int] | None = None
     over: tuple[int, int] | None = None
+    #: Of a block that is no span of the source, as a cell that wraps: its text.
+    text: str | None = None
 
 
 @dataclass
@@ -89,9 +91,9 @@ def rows(text: str, blocks: list[Block]) -> list[tuple]:
     for b in blocks:
         if b.level is not None and b.level <= 2 and within:
             section, within = section + 1, 0
-        spans = [None if s is None else (of(s[0]), of(s[1])) for s in ((b.start, b.end), b.under, b.over)]
-        flat = [x for s in spans[1:] for x in (s or (None, None))]
-        out.append((section, within, b.kind, b.level, text[b.start : b.end], *spans[0], b.translatable, b.role, b.table, b.column, b.label_row, b.header, b.mark, *flat))
+        spans = [None if s is None else (of(s[0]), of(s[1])) for s in ((b.start, b.end) if b.text is None else None, b.under, b.over)]
+        flat = [x for s in spans for x in (s or (None, None))]
+        out.append((section, within, b.kind, b.level, text[b.start : b.end] if b.text is None else b.text, *flat[:2], b.translatable, b.role, b.table, b.column, b.label_row, b.header, b.mark, *flat[2:]))
         within += 1
     return out
 

@@ -3,15 +3,32 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from dataclasses import dataclass, field
 
+from weftline.functions.text import WIDE
 from weftline.parsers.base import Block, Line, has_word, lines_of
 
 # Directives whose body is not prose.
 OPAQUE_DIRECTIVES = (
-    "code", "code-block", "sourcecode", "highlight", "literalinclude", "include", "raw", "math", "image", "toctree", "index", "doctest", "testcode", "testoutput", "parsed-literal", "productionlist", "csv-table", "graphviz",
-)
+    "code",
+    "code-block",
+    "sourcecode",
+    "literalinclude",
+    "parsed-literal",
+    "doctest",
+    "raw",
+    "math",
+    "toctree",
+    "contents",
+    "include",
+    "highlight",
+    "image",
+    "figure",
+    "csv-table",
+    "list-table",
+    "productionlist",
+    "tabularcolumns",
+)
 _ADORN = re.compile(r"([!-/:-@\[-`{-~])\1+$")
 _BULLET = re.compile(r"[-*+•‣⁃][ \t]+(?=\S)")
 _ENUMERATOR = re.compile(r"(?:\d+\.|#\.|[A-Za-z]\)|\(?(?:\d+|[A-Za-z]|#)\))[ \t]+(?=\S)")
@@ -24,7 +41,7 @@ _SIMPLE = re.compile(r"=+(?:[ \t]+=+)+$")
 
 def width(text: str) -> int:
     """Display columns: two for wide characters."""
-    return sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+    return sum(2 if any(lo <= ord(c) <= hi for lo, hi in WIDE) else 1 for c in text)
 
 
 def columns(text: str, start: int, stop: int | None) -> str:
@@ -310,8 +327,9 @@ class _Parser:
             for r, row in enumerate(found.rows):
                 for c, cell in enumerate(row):
                     if has_word(cell):
-                        header = found.rows[0][c] if labels and c < len(found.rows[0]) else None
-                        self.blocks.append(Block("table", start, start, role="table_cell", table=self.tables, column=c, label_row=r < labels, header=header if r < labels else None))
+                        # a body cell carries the label above it; a label is its own text
+                        header = (found.rows[0][c] or None) if labels and c < len(found.rows[0]) and r >= labels else None
+                        self.blocks.append(Block("table", start, start, role="table_cell", table=self.tables, column=c, label_row=r < labels, header=header, text=cell))
             self.tables += 1
         return after
 
@@ -320,6 +338,16 @@ def parse_rst(text: str) -> list[Block]:
     return _Parser(text).run()
 
 
+def redraw_table(source: str, texts: list[str]) -> str | None:
+    """A table's source drawn anew with the texts of its cells that have a word, in order; None where cells and geometry disagree, which leaves it as it is."""
+    lines = source.rstrip("\n").split("\n")
+    found = grid_table(lines) if lines[0].strip().startswith("+") else simple_table(lines)
+    if found is None or sum(has_word(c) for r in found.rows for c in r) != len(texts):
+        return None
+    left = iter(texts)
+    return render(found, [[next(left) if has_word(c) else c for c in r] for r in found.rows])
+
+
 def rebuild_table(source: str, translations: dict[str, str]) -> str | None:
     """A table's source drawn anew with cells replaced by text; None where it has no geometry, which leaves it as it is."""
     lines = source.split("\n")

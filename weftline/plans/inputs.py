@@ -48,11 +48,26 @@ def glossary(spark: SparkSession, terms=TERMS) -> DataFrame:
     return spark.createDataFrame([(t, v, None) for t, v in terms], "term string, translation string, note string")
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages with addresses and role headers behind their html, which has none of its own."""
+    page = F.col("page_id")
+    more = (F.lit(" see https://a.example/p"), page.cast("string"), F.lit(". or (http://b.example/q-"), (page % 7).cast("string"), F.lit('), {name "k"}`v` {2}'))
+    return table(spark, sf_dir, "pages").withColumn("linked", F.concat("html", *more))
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations with marks, which they have none of: literals, emphasis, and what opens a construct at a line's start."""
+    text, kind = F.col("text"), F.pmod("turn", F.lit(5))
+    put = F.when(kind == 0, F.concat(F.lit("`"), text, F.lit("` *b*"))).when(kind == 1, F.concat(F.lit("* "), text)).when(kind == 2, F.concat(F.lit("# "), text))
+    put = put.when(kind == 3, F.concat(F.lit("  > "), text, F.lit(" `x` https://a.example/"), F.col("turn").cast("string"))).otherwise(F.concat(F.lit("| "), text))
+    return table(spark, sf_dir, "conversations").withColumn("text", put)
+
+
+def pairs(spark: SparkSession, sf_dir: str, turns: DataFrame | None = None) -> DataFrame:
     """Neighbouring turns of conversations as (source, translation)."""
     from pyspark.sql import Window
 
-    turns = table(spark, sf_dir, "conversations")
+    turns = table(spark, sf_dir, "conversations") if turns is None else turns
     w = Window.partitionBy("conv_id").orderBy("turn")
     out = turns.select(F.col("conv_id").alias("path"), F.col("turn").alias("seq"), F.col("text").alias("source"), F.lead("text").over(w).alias("translation"))
     return out.withColumn("markup", F.element_at(F.array(*map(F.lit, ("markdown", "asciidoc", "rst", "verso"))), (F.pmod("path", F.lit(4)) + 1).cast("int")))

@@ -12,6 +12,7 @@ from weftline.functions import text as T
 from weftline.operators import assembly, coverage, evaluate, glossary, orphans, reconcile, reconstruct, translate
 from weftline.operators import segments as S
 from weftline.plans import inputs
+from weftline.sources.shared import kept
 from weftline.streaming import events as E
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +62,12 @@ _MATCH = (
 )
 
 
+#: The inputs of :mod:`weftline.plans.inputs` with links and with marks.
+_LINKED = """WITH linked AS (SELECT page_id, url, html, html || ' see https://a.example/p' || page_id || '. or (http://b.example/q-' || page_id % 7 || '), {name "k"}`v` {2}' AS linked FROM pages)"""
+_TURNS = """WITH turns AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '`' || text || '` *b*' WHEN 1 THEN '* ' || text WHEN 2 THEN '# ' || text WHEN 3 THEN '  > ' || text || ' `x` https://a.example/' || turn ELSE '| ' || text END AS text FROM conversations)"""
+_URLS = """list_transform(regexp_extract_all({0}, 'https?://[^\\s<>"()]*'), lambda u: regexp_replace(u, '[.,;]+$', ''))"""
+
+
 # --- text ----------------------------------------------------------------------------------
 
 
@@ -100,20 +107,25 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.files(spark, sf_dir).select("path", T.preview(F.col("source"), 60).alias("shown"))
 
 
-@query("SELECT page_id AS path, array_to_string(list_transform(regexp_extract_all(html, 'https?://[^\\s<>\"()]*'), lambda u: regexp_replace(u, '[.,;]+$', '')), ' ') AS urls FROM pages")
+@query(_LINKED + " SELECT page_id AS path, array_to_string(" + _URLS.format("linked") + ", ' ') AS urls FROM linked")
 def extract_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.array_join(T.extract_urls(F.col("html")), " ").alias("urls"))
+    return inputs.linked(spark, sf_dir).select(F.col("page_id").alias("path"), F.array_join(T.extract_urls(F.col("linked")), " ").alias("urls"))
 
 
-@query("SELECT page_id AS path, regexp_replace(html, '\\{[A-Za-z][^}]*\\}', '', 'g') = html AS unchanged, length(regexp_replace(html, '\\{[A-Za-z][^}]*\\}', '', 'g')) AS n FROM pages")
+@query(_LINKED + " SELECT page_id AS path, md5(regexp_replace(linked, '\\{[A-Za-z][^}]*\\}', '', 'g')) AS plain, length(linked) - length(regexp_replace(linked, '\\{[A-Za-z][^}]*\\}', '', 'g')) AS less FROM linked")
 def strip_role_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = T.strip_role_headers(F.col("html"))
-    return inputs.table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), (plain == F.col("html")).alias("unchanged"), F.length(plain).cast("long").alias("n"))
+    plain = T.strip_role_headers(F.col("linked"))
+    return inputs.linked(spark, sf_dir).select(F.col("page_id").alias("path"), F.md5(plain).alias("plain"), (F.length("linked") - F.length(plain)).cast("long").alias("less"))
 
 
-@query("SELECT page_id AS path, regexp_replace(regexp_replace(lower(regexp_replace(url, '\\{[^}]*\\}', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")
+@query(
+    "WITH t AS (SELECT page_id, url || ' my_func {lit \"x\"}`A b`*c* ' || page_id % 3 || CASE WHEN page_id % 2 = 0 THEN ' {open to the end' ELSE '' END AS title FROM pages)"
+    " SELECT page_id AS path, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(title, '\\{[^}]*(\\}|$)', '', 'g'), '[`*_]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM t"
+)
 def heading_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), T.heading_slug(F.col("url")).alias("slug"))
+    page = F.col("page_id")
+    title = F.concat("url", F.lit(' my_func {lit "x"}`A b`*c* '), (page % 3).cast("string"), F.when(page % 2 == 0, " {open to the end").otherwise(""))
+    return inputs.table(spark, sf_dir, "pages").select(page.alias("path"), T.heading_slug(title).alias("slug"))
 
 
 @query("SELECT c_custkey AS path, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(c_name, '([a-z0-9])([A-Z])', '\\1-\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1-\\2', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM customer")
@@ -121,126 +133,97 @@ def file_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), T.file_slug(F.col("c_name")).alias("slug"))
 
 
-@query("SELECT doc_id AS path, length(text) + length(regexp_replace(text, '[^\\x{1100}-\\x{115F}\\x{2E80}-\\x{303E}\\x{3041}-\\x{4DBF}\\x{4E00}-\\x{A4CF}\\x{AC00}-\\x{D7A3}\\x{F900}-\\x{FAFF}\\x{FE30}-\\x{FE4F}\\x{FF00}-\\x{FF60}\\x{FFE0}-\\x{FFE6}\\x{1F300}-\\x{1FAFF}\\x{20000}-\\x{3FFFD}]', '', 'g')) AS width FROM documents")
+_WIDE = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in T.WIDE)
+
+
+@query(f"WITH t AS (SELECT doc_id, text || repeat('漢字カナ한글。Ａ', (doc_id % 4)::int) || '😀é' AS text FROM documents) SELECT doc_id AS path, length(text) + length(regexp_replace(text, '[^{_WIDE}]', '', 'g')) AS width FROM t")
 def display_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.files(spark, sf_dir).select("path", T.display_width(F.col("source")).cast("long").alias("width"))
+    """Texts with wide characters behind them, and one beyond the ranges that count as wide."""
+    wide = F.concat("source", F.repeat(F.lit("漢字カナ한글。Ａ"), F.pmod("path", F.lit(4)).cast("int")), F.lit("😀é"))
+    return inputs.files(spark, sf_dir).select("path", T.display_width(wide).cast("long").alias("width"))
 
 
 # --- matching and status -------------------------------------------------------------------
 
 
-@query(
-    _MATCH
-    + """, n AS (SELECT path, h, min(seq) AS seq, count(*) AS c FROM seg GROUP BY ALL),
-o AS (SELECT path, h, min(seq) AS pos, count(*) AS c FROM old GROUP BY ALL)
-SELECT n.path, n.h, n.c AS new_rows, coalesce(o.c, 0) AS old_rows, least(n.c, coalesce(o.c, 0)) AS matched FROM n LEFT JOIN o USING (path, h)"""
+#: Greedy matching as a recursion over the new rows of a hash, in order: each takes the unclaimed stored row whose index is nearest, the earliest of equals.
+_CLAIMS = (
+    _MATCH.replace("WITH", "WITH RECURSIVE", 1)
+    + """, ctx AS (SELECT *, block_idx * 1000 + seg_idx AS idx, coalesce(lag(h) OVER w, '') || ':' || coalesce(lead(h) OVER w, '') AS around FROM seg WINDOW w AS (PARTITION BY path ORDER BY seq)),
+held AS (SELECT c.*, o.k, c.idx AS pos FROM ctx c JOIN old o USING (path, seq)),
+news AS (SELECT path, h, list({'seq': seq, 'idx': idx} ORDER BY seq) AS n FROM ctx GROUP BY ALL),
+olds AS (SELECT path, h, list({'idx': idx, 'pos': pos} ORDER BY pos) AS o FROM held GROUP BY ALL),
+step AS (SELECT path, h, n, o, 0::BIGINT AS i, []::BIGINT[] AS claimed FROM news JOIN olds USING (path, h)
+  UNION ALL SELECT path, h, n, o, i + 1, list_append(claimed, list_sort(list_transform(list_filter(o, lambda y: NOT list_contains(claimed, y.pos)), lambda y: {'d': abs(y.idx - n[i + 1].idx), 'pos': y.pos}))[1].pos)
+  FROM step WHERE i < least(len(n), len(o))),
+taken AS (SELECT path, n[j].seq AS seq, claimed[j] AS pos FROM step, unnest(range(1, len(claimed) + 1)) t(j) WHERE i = least(len(n), len(o)))"""
+)
+_STATUS = (
+    _CLAIMS
+    + """, st AS (SELECT c.path, c.seq, c.source, CASE WHEN o.path IS NULL OR o.k % 5 = 0 THEN 'Pending' WHEN o.k % 11 = 0 OR o.around <> c.around THEN 'ContextChanged' ELSE 'Translated' END AS status
+  FROM ctx c LEFT JOIN taken t USING (path, seq) LEFT JOIN held o ON o.path = c.path AND o.pos = t.pos)"""
 )
-def reconcile_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows of each hash match: as many as the side with fewer has."""
-    rows = inputs.segments(spark, sf_dir)
-    found = reconcile.reconcile(rows, inputs.state(rows))
-    old = inputs.state(rows).groupBy("path", "source_hash").agg(F.count("pos").alias("old_rows"))
-    new = found.groupBy("path", "source_hash").agg(F.md5(F.first("source")).alias("h"), F.count("seq").alias("new_rows"), F.count_if("matched").alias("matched"))
-    return new.join(old, ["path", "source_hash"], "left").select("path", "h", "new_rows", F.coalesce("old_rows", F.lit(0)).alias("old_rows"), "matched")
 
 
-_UNIQUE = _MATCH + """, one AS (SELECT path, h FROM seg GROUP BY ALL HAVING count(*) = 1),
-st AS (SELECT s.path, s.seq, s.source, CASE WHEN o.path IS NULL OR o.k % 5 = 0 THEN 'Pending' WHEN o.k % 11 = 0 THEN 'ContextChanged' ELSE 'Translated' END AS status
-  FROM seg s JOIN one USING (path, h) LEFT JOIN old o ON o.path = s.path AND o.seq = s.seq)"""
+@query(_CLAIMS + " SELECT c.path, c.seq, t.pos FROM ctx c LEFT JOIN taken t USING (path, seq)")
+def reconcile_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored row that each segment takes over."""
+    rows = kept(inputs.segments(spark, sf_dir))
+    found = reconcile.reconcile(rows, inputs.state(rows))
+    return found.select("path", "seq", F.col("pos").cast("long").alias("pos"))
 
 
 def _status(spark: SparkSession, sf_dir: str, terms=()) -> DataFrame:
-    rows = inputs.segments(spark, sf_dir)
+    rows = kept(inputs.segments(spark, sf_dir))  # cut once, read by every join
     return reconcile.reconcile_status(rows, inputs.state(rows), inputs.glossary(spark, terms))
 
 
-def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status of the segments whose text occurs once in their file."""
-    rows = _status(spark, sf_dir)
-    once = rows.groupBy("path", "source_hash").agg(F.count("seq").alias("c")).filter("c = 1").select("path", "source_hash")
-    return rows.join(once, ["path", "source_hash"])
-
-
-@query(_UNIQUE + " SELECT path, seq, status FROM st")
+@query(_STATUS + " SELECT path, seq, status FROM st")
 def reconcile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unique(spark, sf_dir).select("path", "seq", "status")
+    return _status(spark, sf_dir).select("path", "seq", "status")
 
 
 @query(
-    _UNIQUE
+    _STATUS
     + """ SELECT count(DISTINCT path) AS files, count(*) AS total, count(*) FILTER (status = 'Translated') AS translated, count(*) FILTER (status = 'Pending') AS pending, count(*) FILTER (status = 'Stale') AS stale,
 count(*) FILTER (status = 'ContextChanged') AS contextchanged, count(*) FILTER (status = 'GlossaryStale') AS glossarystale, round(100.0 * count(*) FILTER (status = 'Translated') / count(*), 6) AS percent FROM st"""
 )
 def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.status_summary(_unique(spark, sf_dir))
+    return reconcile.status_summary(_status(spark, sf_dir))
 
 
-@query(_UNIQUE + " SELECT count(*) FILTER (status <> 'Translated') AS open, count(*) FILTER (status <> 'Translated') = 0 AS ok FROM st")
+@query(_STATUS + " SELECT count(*) FILTER (status <> 'Translated') AS open, count(*) FILTER (status <> 'Translated') = 0 AS ok FROM st")
 def status_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.status_check(_unique(spark, sf_dir))
+    return reconcile.status_check(_status(spark, sf_dir))
 
 
-@query(_UNIQUE + " SELECT status, count(*) AS n FROM st GROUP BY status")
+@query(_STATUS + " SELECT status, count(*) AS n FROM st GROUP BY status")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.status_counts(_unique(spark, sf_dir))
+    return reconcile.status_counts(_status(spark, sf_dir))
 
 
-@query(_UNIQUE + " SELECT d.doc_id AS path, count(st.seq) AS pending FROM documents d LEFT JOIN st ON st.path = d.doc_id AND st.status <> 'Translated' GROUP BY d.doc_id")
+@query(_STATUS + " SELECT d.doc_id AS path, count(st.seq) AS pending FROM documents d LEFT JOIN st ON st.path = d.doc_id AND st.status <> 'Translated' GROUP BY d.doc_id")
 def pending_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.pending_per_file(inputs.files(spark, sf_dir), _unique(spark, sf_dir))
+    return reconcile.pending_per_file(inputs.files(spark, sf_dir), _status(spark, sf_dir))
 
 
-@query(_UNIQUE + " SELECT path, seq, status FROM st WHERE status IN ('Pending', 'Stale', 'GlossaryStale')")
+@query(_STATUS + " SELECT path, seq, status FROM st WHERE status IN ('Pending', 'Stale', 'GlossaryStale')")
 def high_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unique(spark, sf_dir).filter(reconcile.high_priority(F.col("status"))).select("path", "seq", "status")
+    return _status(spark, sf_dir).filter(reconcile.high_priority(F.col("status"))).select("path", "seq", "status")
 
 
-@query(_UNIQUE + " SELECT path, seq // 1000000 AS block_idx, count(*) AS n, string_agg(source, ' ' ORDER BY seq) AS asked FROM st WHERE status <> 'Translated' GROUP BY ALL")
+@query(_STATUS + " SELECT path, seq // 1000000 AS block_idx, count(*) AS n, string_agg(source, ' ' ORDER BY seq) AS asked FROM st WHERE status <> 'Translated' GROUP BY ALL")
 def group_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reconcile.group_by_block(_unique(spark, sf_dir))
+    rows = reconcile.group_by_block(_status(spark, sf_dir))
     return rows.select("path", F.col("block_idx").cast("long").alias("block_idx"), "n", F.array_join(F.transform("segments", lambda s: s["source"]), " ").alias("asked"))
 
 
-# The seven queries above leave out repeated texts, as their SQL does; these hold all segments and have no SQL, which cannot match greedily.
-
-
-@query()
-def reconcile_status_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _status(spark, sf_dir).select("path", "seq", "status")
-
-
-@query()
-def status_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.status_summary(_status(spark, sf_dir))
-
-
-@query()
-def status_check_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.status_check(_status(spark, sf_dir))
-
-
-@query()
-def status_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.status_counts(_status(spark, sf_dir))
-
-
-@query()
-def pending_per_file_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.pending_per_file(inputs.files(spark, sf_dir), _status(spark, sf_dir))
-
-
-@query()
-def high_priority_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _status(spark, sf_dir).filter(reconcile.high_priority(F.col("status"))).select("path", "seq", "status")
-
-
-@query()
-def group_by_block_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reconcile.group_by_block(_status(spark, sf_dir))
-    return rows.select("path", F.col("block_idx").cast("long").alias("block_idx"), "n", F.array_join(F.transform("segments", lambda s: s["source"]), " ").alias("asked"))
+_TERM_HITS = " UNION ALL ".join(
+    f"SELECT path, block_idx, seg_idx, '{t}' AS term FROM t WHERE contains(s, '{t}') AND regexp_matches(s, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){t}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')" for t in ("the", "und", "que", "license", "of the")
+)
 
 
-@query(_SEG + ", t AS (SELECT path, block_idx, seg_idx, lower(source) AS s FROM seg), g AS (SELECT * FROM (VALUES ('the'), ('und'), ('que'), ('license'), ('of the')) v(term)) SELECT path, block_idx, seg_idx, term FROM t, g WHERE regexp_matches(s, '(^|[^\\p{L}\\p{M}\\p{N}_])' || term || '($|[^\\p{L}\\p{M}\\p{N}_])')")
+@query(_SEG + ", t AS (SELECT path, block_idx, seg_idx, lower(source) AS s FROM seg) " + _TERM_HITS)
 def term_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = glossary.term_join(inputs.segments(spark, sf_dir), inputs.glossary(spark))
     return found.select("path", "block_idx", "seg_idx", F.lower("term").alias("term"))
@@ -336,7 +319,7 @@ n AS (SELECT path, count(*) AS n FROM a GROUP BY path), c AS (SELECT a.path, b.p
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     files = inputs.files(spark, sf_dir).select("path", H.content_hash(F.col("source")).alias("file_hash"))
-    rows = files.join(inputs.segments(spark, sf_dir).select("path", "source_hash"), "path", "left")
+    rows = kept(files.join(inputs.segments(spark, sf_dir).select("path", "source_hash"), "path", "left"))
     return rows.filter("path % 2 = 1"), rows.filter("path % 2 = 0")
 
 
@@ -346,7 +329,17 @@ def orphan_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "orphan_path", F.round("overlap", 6).alias("overlap"))
 
 
-@query()
+_RENAMES = (
+    _HALVES.replace("WITH", "WITH RECURSIVE", 1)
+    + """, cand AS (SELECT path, orphan_path, max(exact) AS exact, max(overlap) AS overlap FROM (
+  SELECT x.doc_id AS path, y.doc_id AS orphan_path, 1 AS exact, 1.0::DOUBLE AS overlap FROM documents x JOIN documents y ON x.text = y.text WHERE x.doc_id % 2 = 1 AND y.doc_id % 2 = 0
+  UNION ALL SELECT path, orphan_path, 0, common / n FROM c JOIN n USING (path) WHERE common >= 0.5 * n) GROUP BY ALL),
+wish AS (SELECT path, list(orphan_path ORDER BY exact DESC, overlap DESC, orphan_path) AS l, row_number() OVER (ORDER BY path) AS r FROM cand GROUP BY path),
+claim AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS claimed UNION ALL SELECT w.r, list_append(claimed, list_filter(l, lambda o: NOT list_contains(claimed, o))[1]) FROM claim c JOIN wish w ON w.r = c.r + 1)"""
+)
+
+
+@query(_RENAMES + " SELECT path, claimed[w.r] AS orphan_path FROM wish w, (SELECT claimed FROM claim ORDER BY r DESC LIMIT 1) WHERE claimed[w.r] IS NOT NULL")
 def match_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.match_orphans(*_halves(spark, sf_dir))
 
@@ -354,23 +347,23 @@ def match_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- evaluators ----------------------------------------------------------------------------
 
 
-@query("WITH p AS (SELECT page_id AS path, list_transform(regexp_extract_all(html, 'https?://[^\\s<>\"()]*'), lambda u: regexp_replace(u, '[.,;]+$', '')) AS s, list_transform(regexp_extract_all(html[1:length(html) // 2], 'https?://[^\\s<>\"()]*'), lambda u: regexp_replace(u, '[.,;]+$', '')) AS t FROM pages) SELECT path, len(list_filter(s, lambda u: NOT list_contains(t, u))) AS lost FROM p")
+@query(_LINKED + ", p AS (SELECT page_id AS path, " + _URLS.format("linked") + " AS s, " + _URLS.format("CASE WHEN page_id % 2 = 0 THEN html ELSE linked END") + " AS t FROM linked) SELECT path, len(list_filter(s, lambda u: NOT list_contains(t, u))) AS lost FROM p")
 def eval_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = inputs.table(spark, sf_dir, "pages")
-    half = F.substring(F.col("html"), F.lit(1), F.floor(F.length("html") / 2).cast("int"))
-    return pages.select(F.col("page_id").alias("path"), F.size(evaluate.eval_link(F.col("html"), half)).cast("long").alias("lost"))
+    """Every other page's translation lacks the links."""
+    other = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.col("linked"))
+    return inputs.linked(spark, sf_dir).select(F.col("page_id").alias("path"), F.size(evaluate.eval_link(F.col("linked"), other)).cast("long").alias("lost"))
 
 
-@query("WITH p AS (SELECT conv_id AS path, turn AS seq, text AS s, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM conversations) SELECT path, seq, len(regexp_extract_all(s, '`+')) = len(regexp_extract_all(t, '`+')) AND len(regexp_extract_all(s, '[*]+')) = len(regexp_extract_all(t, '[*]+')) AS same FROM p WHERE t IS NOT NULL")
+@query(_TURNS + ", p AS (SELECT conv_id AS path, turn AS seq, text AS s, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM turns) SELECT path, seq, len(regexp_extract_all(s, '`+')) = len(regexp_extract_all(t, '`+')) AND len(regexp_extract_all(s, '[*]+')) = len(regexp_extract_all(t, '[*]+')) AS same FROM p WHERE t IS NOT NULL")
 def eval_format_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inputs.pairs(spark, sf_dir).filter("translation is not null")
+    rows = inputs.pairs(spark, sf_dir, inputs.marked(spark, sf_dir)).filter("translation is not null")
     found = evaluate.eval_format_runs(F.col("source"), F.col("translation"), F.lit("asciidoc"))
     return rows.select("path", "seq", (F.size(found) == 0).alias("same"))
 
 
-@query("SELECT conv_id AS path, turn AS seq, CASE WHEN regexp_matches(ltrim(text), '^[*+-][ \\t]') THEN 'list item' WHEN regexp_matches(ltrim(text), '^#[ \\t]') THEN 'heading' WHEN regexp_matches(ltrim(text), '^>[ \\t]') THEN 'block quote' WHEN starts_with(ltrim(text), '|') THEN 'table cell' END AS opened FROM conversations")
+@query(_TURNS + " SELECT conv_id AS path, turn AS seq, CASE WHEN regexp_matches(ltrim(text), '^[*+-][ \\t]') THEN 'list item' WHEN regexp_matches(ltrim(text), '^#[ \\t]') THEN 'heading' WHEN regexp_matches(ltrim(text), '^>[ \\t]') THEN 'block quote' WHEN starts_with(ltrim(text), '|') THEN 'table cell' END AS opened FROM turns")
 def line_start_construct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("seq"), evaluate.line_start_construct(F.col("text")).alias("opened"))
+    return inputs.marked(spark, sf_dir).select(F.col("conv_id").alias("path"), F.col("turn").alias("seq"), evaluate.line_start_construct(F.col("text")).alias("opened"))
 
 
 @query("WITH p AS (SELECT conv_id AS path, turn AS seq, lower(text) AS s, lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS t FROM conversations) SELECT path, seq FROM p WHERE t IS NOT NULL AND regexp_matches(s, '(^|[^\\p{L}\\p{M}\\p{N}_])the($|[^\\p{L}\\p{M}\\p{N}_])') AND NOT contains(t, 'of')")
@@ -382,12 +375,12 @@ def eval_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def evaluators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All mechanical rules over neighbouring turns."""
-    return evaluate.mechanical(inputs.pairs(spark, sf_dir), "ko")
+    return evaluate.mechanical(inputs.pairs(spark, sf_dir, inputs.marked(spark, sf_dir)).filter("translation is not null"), "ko")
 
 
 @query()
 def issue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inputs.pairs(spark, sf_dir).filter("translation is not null")
+    rows = inputs.pairs(spark, sf_dir, inputs.marked(spark, sf_dir)).filter("translation is not null")
     return evaluate.issue_totals(rows, evaluate.mechanical(rows, "ko"))
 
 
@@ -411,9 +404,9 @@ def translate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.filter(F.col("translation").startswith("<ko> ")).groupBy("path").agg(F.count("seq").alias("n"))
 
 
-@query(_SEG + " SELECT path, block_idx, string_agg(CASE WHEN seg_idx % 2 = 0 THEN upper(source) ELSE source END, ' ' ORDER BY seg_idx) AS text FROM seg GROUP BY ALL")
+@query(_SEG + " SELECT path, block_idx, string_agg(CASE WHEN seg_idx % 2 = 0 THEN '<' || source || '>' ELSE source END, ' ' ORDER BY seg_idx) AS text FROM seg GROUP BY ALL")
 def join_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inputs.segments(spark, sf_dir).withColumn("translation", F.when(F.col("seg_idx") % 2 == 0, F.upper("source")))
+    rows = inputs.segments(spark, sf_dir).withColumn("translation", F.when(F.col("seg_idx") % 2 == 0, F.concat(F.lit("<"), "source", F.lit(">"))))
     return reconstruct.join_translations(rows).select("path", "block_idx", "text")
 
 

@@ -126,7 +126,7 @@ def resolve_output(files: DataFrame, sources: DataFrame) -> DataFrame:
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     beside = F.concat(F.when(folder == "", "").otherwise(F.concat(folder, F.lit("/"))), stem, F.lit(".ko"), ext)
     filled = F.col("s.template")
-    for key, value in (("dir", folder), ("stem", stem), ("ext", ext), ("path", F.col("path"))):
+    for key, value in (("dir", folder), ("stem", stem), ("ext", ext), ("path", F.when(F.col("s.dir").isin("", "."), F.col("path")).otherwise(F.expr("substring(path, length(s.dir) + 2)")))):
         filled = F.replace(filled, F.lit("{" + key + "}"), value)
     return joined.withColumn("output", F.coalesce(filled, beside)).drop("s")
 
