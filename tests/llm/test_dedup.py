@@ -76,7 +76,6 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     from weftline.llm import linking
 
     monkeypatch.setattr(linking, "BLOCK", 4)
-    monkeypatch.setattr(linking, "ROUNDS", 1)
     # four chains, each text linked to the next only
     texts = [" ".join(f"v{i // 8 * 100 + i % 8 * 3 + k}" for k in range(40)) for i in range(32)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
@@ -94,7 +93,6 @@ def test_blocks_about_the_threshold(spark, monkeypatch):
     from weftline.llm import linking
 
     monkeypatch.setattr(linking, "BLOCK", 16)
-    monkeypatch.setattr(linking, "ROUNDS", 1)
     rnd = random.Random(4)
     base = [f"w{k}" for k in range(80)]
     texts = []

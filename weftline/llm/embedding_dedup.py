@@ -200,7 +200,7 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.95) -> DataFrame:
         info = reps.select("id", "vector", "code", "factor", "packed")
         return block_links(rows.join(info, "id"), ["vector", "code", "factor", "packed"], linked_rows)
 
-    linked = written(link(shared_buckets(reps.select(F.explode("bands").alias("key"), "id")), confirm, compare), "linked")
+    linked = written(link(shared_buckets(reps.select(F.explode("bands").alias("key"), "id")), confirm, compare, rounds=1), "linked")
     members = linked.join(classes.select(F.col("rep").alias("id"), "copies"), "id").join(reps.select("id", "vector"), "id")
     sizes = linked.groupBy("component").agg(F.ceil(F.count("id") / BLOCK).cast("int").alias("slots"))
     members = members.join(written(sizes, "sizes"), "component").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))

@@ -18,7 +18,7 @@ BLOCK = 256
 #: Weight that the members of a block may add up to, about.
 WEIGHT = 1 << 20
 #: Rounds of comparison with heads, and heads that an item is compared with in each.
-ROUNDS, TRIES = 4, 1
+ROUNDS, TRIES = 2, 1
 #: A round that finds at most this share of the links of the one before is the last.
 LITTLE = 0.1
 #: Rows up to which a table of a few numbers each, and one of a key each, is sent to all executors (at most about 40 MB).
@@ -69,7 +69,7 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return shared
 
 
-def link(members: DataFrame, confirm: Pairs, compare: Pairs, weights: DataFrame | None = None) -> DataFrame:
+def link(members: DataFrame, confirm: Pairs, compare: Pairs, weights: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(id, component) of the items that confirmed links join; items without a link are not in it.
 
     members(key, id): rows of shared buckets. confirm(a, b) keeps the pairs that are links, and may get a pair twice.
@@ -81,12 +81,12 @@ def link(members: DataFrame, confirm: Pairs, compare: Pairs, weights: DataFrame
     head, and an item outside the head's component is compared with the TRIES heads with
     which it shares most buckets. What this joins needs no more comparison inside, so
     that a large group of copies is soon one component. When a round joins little, or
-    after ROUNDS, all pairs across components in the buckets left are compared, in
+    after so many rounds, all pairs across components in the buckets left are compared, in
     blocks, so that no link is lost. Members of a bucket's largest component meet its
     other members only, so that the blocks grow with what is left outside of it.
     """
     held, known, found = members, None, 0
-    for number in range(ROUNDS + 1):
+    for number in range(rounds + 1):
         left = _placed(held, known)
         order = F.col("id") if number == 0 else F.xxhash64("id", F.lit(number))
         heads = left.groupBy("key").agg(
@@ -98,7 +98,7 @@ def link(members: DataFrame, confirm: Pairs, compare: Pairs, weights: DataFrame
             return components(members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)) if known is None else known
         last, held = held, written(left.join(heads, "key"), "left")
         forget(heads, left if known is not None else None, last if number else None)
-        if number == ROUNDS:
+        if number == rounds:
             break
         met = held.filter("component <> c").groupBy("id", "head").agg(F.count("key").alias("shared"))
         # an item is in a fixed number of buckets, and so has few heads

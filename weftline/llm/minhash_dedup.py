@@ -334,7 +334,7 @@ def _components(docs: DataFrame, words: int, similarity: int) -> DataFrame:
         return block_links(rows.join(info, "id"), ["planes", "packed", "members"], linked_rows)
 
     members = reps.select(F.explode("bands").alias("key"), "id")
-    linked = written(link(shared_buckets(members), confirm, compare, reps.select("id", F.col("n_shingles").alias("weight"))), "linked")
+    linked = written(link(shared_buckets(members), confirm, compare, reps.select("id", F.col("n_shingles").alias("weight")), rounds=1), "linked")
     joined = classes.join(linked, classes.low == linked.id, "left").select(*named, "rep", F.coalesce("component", "low").alias("label"))
     joined = written(joined, "class-labels")
     least_id = joined.groupBy("label").agg(F.min("rep").alias("component"))
