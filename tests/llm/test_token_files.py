@@ -51,6 +51,20 @@ def test_stretches_have_the_ids_of_whole_texts(name, kept):
         assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_runs_of_white_space_are_cut_as_the_library_cuts_them():
+    """Every white-space character, and the separators that are none, in runs between words: blank and indented lines above all."""
+    own, library = WordTokens(tokenizer_path(BYTE_BPE), True), Tokenizer.from_file(tokenizer_path(BYTE_BPE))
+    white = [chr(c) for c in [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]]
+    bits = white + ["\x1c", "\x1f", "\u180e", "\u200b", "\ufeff", " ", " ", "\n", "\n", "  ", "\n\n", "\n    ", "word", "'s", "é!", "12", "日本"]
+    rnd = random.Random(11)
+    texts = [a + b + c for a in white for b in white for c in ("", "x", "!")] + ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 30))) for _ in range(6000)]
+    ids, counts = own.encode(texts, 7)
+    want = [e.ids + [7] for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+    assert own.stretches("A b.\n\n    c d\n") == ["A", " b.", "\n\n   ", " c", " d", "\n"]
+
+
 def test_round_trip_of_a_table(spark):
     texts = {5: "A b.\nC", 3: None, 4: "", 9: "word " * 30_000, 1: "The end"}
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in texts.items()], "doc_id long, text string, ids int, start string").repartition(3)

@@ -1,12 +1,13 @@
 """Ids of the ``tokenizers`` library for whole texts, each distinct stretch of text encoded once a worker.
 
 Pre-tokenisation of the two supported vocabularies never joins characters across the
-cuts made here (before a single space between two other characters, and around a line
-feed between them; where white space is dropped, at every space and line feed), so the
-ids of a text are its stretches' ids one after another. A text where such a cut is not
-certain goes to the library whole, as does one that holds an added token's string. A stretch of plain letters, digits and signs is cut
-into words by the pre-tokeniser's own pattern, and a word not met before goes to the
-library's model; any other stretch goes through all of the library's steps.
+cuts made here, so the ids of a text are its stretches' ids one after another. Where
+white space is part of tokens, a run of it gives its last character to what follows (as
+one stretch if that is a space, as a stretch of its own if not) and is a stretch without
+it; where it is dropped, texts are cut at every space and line feed. A text that holds
+an added token's string goes to the library whole. A stretch of plain letters, digits and
+signs is cut into words by the pre-tokeniser's own pattern, and a word not met before goes
+to the library's model; any other stretch goes through all of the library's steps.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Stretches that a worker remembers; beyond, it starts anew.
 REMEMBERED = 1_200_000
-#: Neighbours at which a cut is not certain; so is other white space after a line feed.
-_UNSURE = ("  ", " \n", "\n ", "\n\n")
-_UNSURE_AFTER = re.compile(r"\n[^\S \n]")
+#: Neighbours that make a run of white space; so does other white space after a line feed.
+_RUNS = ("  ", " \n", "\n ", "\n\n")
+_RUN_AFTER = re.compile(r"\n[^\S \n]")
+#: White space as Unicode defines it, inside a character class.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters that normalisation keeps (but for case) and that both sides class alike: letters, signs and digits below U+0250.
 _PLAIN = re.compile(r"[\n -~\xa1-\u012f\u0131-\u024f]*")
 _SPACED = re.compile(r" ?[^ \n]+|\n| ")
+_WITH_RUNS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
 _DROPPED = re.compile(r"[^ \n]+")
 
 # The pre-tokenisers' patterns, as in the tokenizer files
@@ -82,8 +86,8 @@ class WordTokens:
             return [text]
         if not self.spaces_kept:
             return _DROPPED.findall(text)
-        if any(x in text for x in _UNSURE) or _UNSURE_AFTER.search(text):
-            return [text]
+        if any(x in text for x in _RUNS) or _RUN_AFTER.search(text):
+            return _WITH_RUNS.findall(text)
         return _SPACED.findall(text)
 
     def _learn(self, fresh: list[str]) -> None:
