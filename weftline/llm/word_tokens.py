@@ -13,7 +13,6 @@ to the library's model; any other stretch goes through all of the library's step
 from __future__ import annotations
 
 import re
-from array import array
 from itertools import chain
 
 import numpy as np
@@ -28,8 +27,8 @@ _RUNS = ("  ", " \n", "\n ", "\n\n")
 _RUN_AFTER = re.compile(r"\n[^\S \n]")
 #: White space as Unicode defines it, inside a character class.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Characters that normalisation keeps (but for case) and that both sides class alike: letters, signs and digits below U+0250.
-_PLAIN = re.compile(r"[\n -~\xa1-\u012f\u0131-\u024f]*")
+#: Stretches of characters that normalisation keeps (but for case) and that both sides class alike: letters, signs and digits below U+0250.
+_PLAIN = re.compile(r" ?[!-~\xa1-\u012f\u0131-\u024f]+")
 _SPACED = re.compile(r" ?[^ \n]+|\n| ")
 _WITH_RUNS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
 _DROPPED = re.compile(r"[^ \n]+")
@@ -46,7 +45,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_BYTE_LETTERS = _byte_letters()
+#: Line feeds stand between words here.
+_BYTE_LETTERS = _byte_letters() | {10: "\n"}
 
 
 def tokenizer_path(name: str) -> str:
@@ -55,6 +55,52 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbered(dict):
+    """Numbers strings in the order in which they are first asked for; ``fresh`` lists those asked for since it was emptied."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.fresh.append(key)
+        self[key] = number = len(self)
+        return number
+
+
+class _Ids:
+    """Ids of numbered strings, in one array."""
+
+    def __init__(self) -> None:
+        self.known = _Numbered()
+        self.flat, self.used = np.empty(1 << 20, np.int32), 0
+        self.at, self.len = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+
+    def number(self, strings: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The strings' numbers, and those strings that had none before, whose ids must be put next."""
+        self.known.fresh = fresh = []
+        return np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings)), fresh
+
+    def put(self, numbers: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> None:
+        while len(self.known) > len(self.at):
+            self.at = np.concatenate([self.at, np.empty_like(self.at)])
+            self.len = np.concatenate([self.len, np.empty_like(self.len)])
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.at[numbers] = self.used + np.cumsum(lens) - lens
+        self.len[numbers] = lens
+        self.used += len(flat)
+
+    def put_lists(self, numbers: np.ndarray, lists: list[list[int]]) -> None:
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.put(numbers, np.fromiter(chain.from_iterable(lists), np.int32, int(lens.sum())), lens)
+
+    def take(self, at: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """The lens[i] ids from at[i] on, one after another."""
+        place = np.cumsum(lens) - lens
+        return self.flat[np.repeat(at - place, lens) + np.arange(int(lens.sum()))]
+
+
 class WordTokens:
     """Encoder for one tokenizer file; ``spaces_kept`` says whether white space is part of its tokens (byte-level) or dropped.
 
@@ -69,14 +115,14 @@ class WordTokens:
         self.added = [x.content for x in self.library.get_added_tokens_decoder().values()] if added else []
         self.model = self.library.model
         self.spaces_kept = spaces_kept
-        self.pattern = regex.compile(_KEPT_PATTERN if spaces_kept else _DROPPED_PATTERN)
+        self.pattern = regex.compile(_KEPT_PATTERN if spaces_kept else _DROPPED_PATTERN + r"|\n")
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.words: dict[str, bytes] = {}
-        self.flat, self.used = np.empty(1 << 20, np.int32), 0
-        self.at, self.len = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
+        self.known, self.words = _Ids(), _Ids()
+        # word 0 stands between two stretches
+        self.words.number(["\n"])
+        self.words.put_lists(np.zeros(1, np.int64), [[]])
 
     def _has_added(self, text: str) -> bool:
         return any(x in text for x in self.added)
@@ -91,61 +137,39 @@ class WordTokens:
         return _SPACED.findall(text)
 
     def _learn(self, fresh: list[str]) -> None:
-        k = len(self.known)
-        while k + len(fresh) > len(self.at):
-            self.at = np.concatenate([self.at, np.empty_like(self.at)])
-            self.len = np.concatenate([self.len, np.empty_like(self.len)])
-        raw = list(map(self._stretch, fresh))
-        flat = np.frombuffer(b"".join(raw), "<i4")
-        lens = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.at[k : k + len(fresh)] = self.used + np.cumsum(lens) - lens
-        self.len[k : k + len(fresh)] = lens
-        self.used += len(flat)
-        self.known.update(zip(fresh, range(k, k + len(fresh)), strict=True))
-
-    def _stretch(self, text: str) -> bytes:
-        """Ids of a stretch. Where its letters leave no doubt how it is normalised and cut, its words go to the library's model one by one, each once."""
-        if not _PLAIN.fullmatch(text) or self._has_added(text):
-            return np.array(self._ids(text), "<i4").tobytes()
-        words = self.pattern.findall(text if self.spaces_kept else text.lower())
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            for w in words:
-                if w not in self.words:
-                    found = self.model.tokenize(w.encode().decode("latin-1").translate(_BYTE_LETTERS))
-                    self.words[w] = array("i", [x.id for x in found]).tobytes()
-            return b"".join(map(self.words.__getitem__, words))
-
-    def _ids(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+        """Puts the ids of stretches not met before. Where its letters leave no doubt how a stretch is normalised and cut, its words go to the library's model one by one, each once."""
+        first, plain = len(self.known.known) - len(fresh), np.fromiter((_PLAIN.fullmatch(x) is not None for x in fresh), bool, len(fresh))
+        if self._has_added("\n".join(fresh)):
+            plain &= np.fromiter((not self._has_added(x) for x in fresh), bool, len(fresh))
+        odd = np.flatnonzero(~plain)
+        self.known.put_lists(first + odd, [self.library.encode(fresh[i], add_special_tokens=False).ids for i in odd.tolist()])
+        clear = np.flatnonzero(plain)
+        if not len(clear):
+            return
+        joined = "\n".join(fresh if not len(odd) else [fresh[i] for i in clear.tolist()])
+        number, unmet = self.words.number(self.pattern.findall((joined if self.spaces_kept else joined.lower()) + "\n"))
+        if unmet:
+            letters = "\n".join(unmet).encode().decode("latin-1").translate(_BYTE_LETTERS).split("\n")
+            of_word = self.model.tokenize
+            self.words.put_lists(np.arange(len(self.words.known) - len(unmet), len(self.words.known)), [[x.id for x in of_word(w)] for w in letters])
+        lens = self.words.len[number]
+        ends = np.cumsum(lens)[number == 0]
+        self.known.put(first + clear, self.words.take(self.words.at[number], lens), np.diff(ends, prepend=0))
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text's followed by ``end``, in one array; and how many ids each text has with that id."""
-        if len(self.known) > REMEMBERED or self.used > 8 * REMEMBERED:
+        if len(self.known.known) > REMEMBERED or self.known.used > 8 * REMEMBERED:
             self._forget()
         by_text = [self.stretches(t) for t in texts]
-        every = list(chain.from_iterable(by_text))
-        at = list(map(self.known.get, every))
-        if None in at:
-            self._learn(list(dict.fromkeys(w for w, a in zip(every, at, strict=True) if a is None)))
-            at = list(map(self.known.get, every))
-        at = np.array(at, np.int64)
-        lens = self.len[at].astype(np.int64)
+        number, fresh = self.known.number(list(chain.from_iterable(by_text)))
+        if fresh:
+            self._learn(fresh)
+        lens = self.known.len[number]
         cuts = np.cumsum(np.fromiter(map(len, by_text), np.int64, len(by_text)))
-        counts = np.diff(np.concatenate([[0], np.cumsum(lens)])[np.r_[0, cuts]])
-        starts = np.insert(self.at[at], cuts, -1)
-        lens = np.insert(lens, cuts, 1)
-        place = np.cumsum(lens) - lens
-        source = np.repeat(starts - place, lens) + np.arange(int(lens.sum()))
-        ends = place[starts < 0]
-        source[ends] = 0
-        ids = self.flat[source].astype("<u4")
-        ids[ends] = end
-        return ids, counts + 1
+        counts = np.diff(np.concatenate([[0], np.cumsum(lens)])[np.r_[0, cuts]]) + 1
+        ids = self.known.take(np.insert(self.known.at[number], cuts, 0), np.insert(lens, cuts, 1)).astype("<u4")
+        ids[np.cumsum(counts) - 1] = end
+        return ids, counts
 
 
 _OPEN: dict[tuple[str, bool], WordTokens] = {}
