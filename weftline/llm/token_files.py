@@ -39,8 +39,14 @@ SEGMENT_IDS = 1 << 20
 _HEAD = struct.Struct("<8s5Q")
 
 
+#: Bits of the ids below 2**17.
+_SMALL = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs, 0 for id 0."""
+    if len(ids) and ids.max() < len(_SMALL):
+        return _SMALL[ids]
     if len(ids) and ids.max() < 1 << 52:
         return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
     return np.array([int(x).bit_length() for x in ids.tolist()], np.uint8)
@@ -75,20 +81,18 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     choice = np.zeros(flat.shape, np.uint8)
     for s in range(len(COUNTS) - 1, 0, -1):
         fits = _window_max(flat, COUNTS[s], known) <= BITS[s]
-        choice[fits] = s
+        np.copyto(choice, s, where=fits)
     # an id of 31 to 60 bits fits no shared word: the escape takes it
     width = wide.shape[1]
     count = np.array(COUNTS)
     at, left = np.zeros(blocks, np.int64), np.arange(blocks)
-    where, which, owner = [], [], []
+    begins = np.zeros(blocks * block, bool)
     while len(left):
-        s = choice[left * width + at[left]]
-        where.append(left * block + at[left]), which.append(s), owner.append(left)
-        at[left] += count[s]
+        begins[left * block + at[left]] = True
+        at[left] += count[choice[left * width + at[left]]]
         left = left[at[left] < block]
-    where, which, owner = (np.concatenate(x) for x in (where, which, owner))
-    order = np.lexsort((where,))
-    where, which, owner = where[order], which[order], owner[order]
+    where = np.flatnonzero(begins)
+    which, owner = choice.reshape(blocks, width)[:, :block].ravel()[where], where // block
     need = np.where(which == 0, 2, 1)
     slot = np.cumsum(need) - need
     words = np.zeros(int(need.sum()), np.uint64)
@@ -227,13 +231,13 @@ def read_files(spark: SparkSession, folder: str, files: list[tuple[int, str, int
                 with fs.open_input_stream(row["path"]) as stream:
                     for doc_ids, counts, ids in read_segments(stream):
                         ends = np.cumsum(counts.astype(np.int64))
-                        raw = ids.astype("<u4")
+                        raw, cuts = pa.py_buffer(ids.astype("<u4").tobytes()), np.r_[0, 4 * ends].astype(np.int32)
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array([None if d == -(1 << 63) else d for d in doc_ids.tolist()], pa.int64()),
+                                pa.array(doc_ids, pa.int64(), mask=doc_ids == -(1 << 63)),
                                 pa.array(at + ends - counts),
                                 pa.array(counts.astype(np.int64)),
-                                pa.array([raw[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary()),
+                                pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(cuts.tobytes()), raw]),
                             ],
                             names=["doc_id", "start", "n_tokens", "ids"],
                         )
