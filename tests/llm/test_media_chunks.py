@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import zlib
 
@@ -48,3 +49,28 @@ def test_round_trip(spark, monkeypatch):
     assert all(len(v) == 1 for v in by_payload.values())
     assert {r.tail_crc32 for r in got if r.n_bytes == 0} == {zlib.crc32(b" " * 16)}
     assert m.round_trip(docs.limit(0)).count() == 0
+
+
+def test_each_chunk_is_stored_once(spark, monkeypatch, tmp_path):
+    """Copies in several tasks and packs: the files hold each distinct chunk once, and all payloads come back."""
+    monkeypatch.setattr(m, "PACK_BYTES", 20_000)
+    rnd = random.Random(9)
+    bases = ["".join(rnd.choice("abcdefgh \n") for _ in range(rnd.randint(100, 30_000))) for _ in range(12)]
+    texts = [rnd.choice(bases) + rnd.choice(["", "tail"]) for _ in range(150)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    folder = str(tmp_path / "packs")
+    chunks = m.written(m.store(docs, folder), "chunks")
+
+    def on_disk():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files if not f.endswith(".crc"))
+
+    before = on_disk()
+    stored = m.written(m.canonical(chunks, folder), "stored")
+    places = {}
+    for r in stored.collect():
+        places.setdefault(bytes(r.digest), set()).add((r.pack, r.offset, r.stored))
+    assert all(len(p) == 1 for p in places.values())
+    assert on_disk() == sum(n for p in places.values() for _, _, n in p) < before
+    got = m.load(stored, folder).collect()
+    assert all(r.verified for r in got)
+    assert sorted((r.doc_id, r.payload_sha256) for r in got) == [(i, hashlib.sha256(m.padded(t)).hexdigest()) for i, t in enumerate(texts)]

@@ -2,16 +2,18 @@
 
 A payload is cut where a rolling gear hash over its last 32 bytes has its upper bits
 zero, between a least and a greatest chunk length. Chunks go into pack files in the
-shared folder, compressed one by one; a task stores a chunk once. A join of the chunk
-digests then gives all copies of a chunk one canonical place, over all tasks. The
-stored form of a payload is its recipe (its length and the ordered list of its chunks'
+shared folder, compressed one by one; a task writes a chunk once a pack. The digests of
+all tasks then elect one place for each chunk, a join gives it to all copies, and packs
+with chunks that were not elected are written anew without them, so that each chunk is
+stored once. The stored form of a payload is its recipe (its length and the ordered list of its chunks'
 lengths and digests) followed by its chunks as stored. Reading back walks the recipes:
 each chunk is fetched from its canonical place by pack and offset and checked against
 its digest, and the payload against its own. Payload bytes never pass through a shuffle;
 only digests and places do.
 
 A pack is written under the name of its attempt, and only places reported by a task
-that ended well are ever read, so lost tasks leave nothing but unused files.
+that ended well are ever read, so lost tasks leave nothing but unused files. A pack is
+deleted only when the places of what it held elsewhere are written.
 
 Defined results: a null payload counts as empty and still gets its padding; equal
 payloads have equal stored forms; an empty table gives no rows.
@@ -39,6 +41,8 @@ LEAST, GREATEST, CUT_BITS = 512, 16_384, 11
 UNIT = 192
 #: Bytes after which a pack file is closed, and packs that a reader holds at once.
 PACK_BYTES, PACKS_HELD = 8 << 20, 4
+#: Parts in which packs are written anew, and below the packs' folder the one for those: only a part is stored twice at a time.
+WAVES, ANEW = 4, "anew"
 DIGEST = 16
 _RECIPE = struct.Struct("<4sQI")
 _GEAR = (np.random.default_rng(20_240_607).integers(0, 1 << 32, 256, np.uint64)).astype(np.uint32)
@@ -154,21 +158,80 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _CHUNKS)
 
 
-def canonical(chunks: DataFrame) -> DataFrame:
-    """Gives every chunk the least place that any copy of it has.
+def canonical(chunks: DataFrame, folder: str) -> DataFrame:
+    """Stores every chunk once, at the least place that any copy of it has, and gives that place to all its rows.
 
-    Copies are counted before they meet (a row a digest and task), and only digests
-    with several places are joined back; both sides of that join can be split where one
-    digest has very many rows.
+    Copies are counted before they meet (a row a digest and task); both sides of the join
+    by digest can be split where one digest has very many rows.
     """
     place = F.struct("pack", "offset", "stored")
-    many = chunks.groupBy("digest").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least <> most").select("digest", "least")
-    many = written(many, "chunk-places")
-    joined = chunks.join(many, "digest", "left")
-    return joined.select(
-        *(c for c in chunks.columns if c not in ("pack", "offset", "stored")),
-        *(F.coalesce(F.col("least")[k], F.col(k)).alias(k) for k in ("pack", "offset", "stored")),
-    )
+    elected = written(chunks.groupBy("digest").agg(F.min(place).alias("p")).select("digest", "p.*"), "chunk-places")
+    sizes = chunks.groupBy("pack").agg(F.max(F.col("offset") + F.col("stored")).alias("size"))
+    live = elected.groupBy("pack").agg(F.sum("stored").alias("live"))
+    mixed = written(sizes.join(live, "pack", "left").filter("live is null or live < size").select("pack"), "mixed-packs")
+    places = elected.join(mixed, "pack", "left_anti")
+    for wave in range(WAVES):
+        now = mixed.filter(F.pmod(F.xxhash64("pack"), F.lit(WAVES)) == wave)
+        moved = written(_anew(elected.join(now, "pack", "left_semi"), folder), "moved-chunks")
+        _delete(now, folder)
+        places = places.unionByName(moved)
+    return chunks.drop("pack", "offset", "stored").join(places, "digest").select(chunks.columns)
+
+
+_PLACES = "digest binary, pack string, offset long, stored int"
+
+
+def _anew(places: DataFrame, folder: str) -> DataFrame:
+    """Copies the chunks at the places into new packs, one for each old pack; their new places. A task run again writes the same bytes."""
+    folder = _uri(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        fs, base = pa.fs.FileSystem.from_uri(folder)
+        fs.create_dir(f"{base}/{ANEW}", recursive=True)
+        attempt, pack, whole, parts = TaskContext.get().taskAttemptId(), None, b"", []
+
+        def close() -> None:
+            if pack is not None:
+                with fs.open_output_stream(f"{base}/{ANEW}/.{pack}-{attempt}") as f:
+                    f.write(b"".join(parts))
+                fs.move(f"{base}/{ANEW}/.{pack}-{attempt}", f"{base}/{ANEW}/{pack}")
+                parts.clear()
+
+        at = 0
+        for batch in batches:
+            offsets = []
+            for old, offset, n in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                if old != pack:
+                    close()
+                    pack, at = old, 0
+                    with fs.open_input_stream(f"{base}/{old}") as f:
+                        whole = f.read()
+                parts.append(whole[offset : offset + n])
+                offsets.append(at)
+                at += n
+            packs = pa.array([f"{ANEW}/{p}" for p in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packs, pa.array(offsets, pa.int64()), batch.column(3)], names=["digest", "pack", "offset", "stored"])
+        close()
+
+    dealt = places.select("digest", "pack", "offset", "stored").repartition("pack").sortWithinPartitions("pack", "offset")
+    return dealt.mapInArrow(run, _PLACES)
+
+
+def _delete(packs: DataFrame, folder: str) -> None:
+    """Deletes the packs; one that is gone already is no error, so that a task can run again."""
+    folder = _uri(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pa.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for pack in batch.column(0).to_pylist():
+                if fs.get_file_info(f"{base}/{pack}").type != pa.fs.FileType.NotFound:
+                    fs.delete_file(f"{base}/{pack}")
+            yield batch
+
+    packs.select("pack").mapInArrow(run, "pack string").count()
 
 
 _READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int, verified boolean"
@@ -191,7 +254,7 @@ class _Packs:
         return self.held[pack]
 
     def get(self, pack: str, offset: int, n: int, home: str) -> bytes:
-        if pack == home or pack in self.held:
+        if pack in (home, f"{ANEW}/{home}") or pack in self.held:
             return self.whole(pack)[offset : offset + n]
         if (pack, offset) not in self.few:
             with self.fs.open_input_file(f"{self.base}/{pack}") as f:
@@ -252,4 +315,4 @@ def round_trip(docs: DataFrame) -> DataFrame:
     """Stores the texts of docs as media, deduplicates their chunks, and reads every payload back."""
     folder = new_folder(docs.sparkSession, "media-packs")
     chunks = written(store(docs, folder), "media-chunks")
-    return load(canonical(chunks), folder)
+    return load(canonical(chunks, folder), folder)
