@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one numpy pass over several documents may hold.
 PASS_CHARS = 1 << 20
+#: Values of a sample's column up to which their counts are sent to all executors.
+SENT_VALUES = 100_000
 #: Folder of each table that ``written`` made.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -91,7 +93,9 @@ def spread_sample(df: DataFrame, key: str, bound: int, by: str | None = None) ->
     order = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
     if by is None:
         return df.orderBy(order, key).limit(bound)
-    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(df.groupBy(by).agg(F.count(F.lit(1)).alias("_n")), "sample-counts")
+    # sent to all executors where values are few, so that rows are thinned before they are dealt by value
+    counts = F.broadcast(counts) if counts.count() <= SENT_VALUES else counts
     few = (order.cast("double") / 2.0**64 + 0.5) * F.col("_n") <= bound + 4 * bound**0.5
     w = Window.partitionBy(by).orderBy(order, key)
     near = df.join(counts, by).filter(few).drop("_n")
