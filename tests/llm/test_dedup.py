@@ -246,3 +246,35 @@ def test_lines_of_odd_tables(spark):
     assert got["m"].text == got["o"].text and {got["m"].text, got["n"].text.split("\n")[0]} != {line}
     assert [got["m"].n_removed + got["n"].n_removed, got["p"].text, got["q"].text, got["r"].text] == [1, line, None, ""]
     assert (got["s"].n_removed, got["t"].n_removed, got["u"].n_removed, got["v"].text) == (0, 1, 1, "x\n\n x")
+
+
+def test_lines_in_passes(spark, monkeypatch):
+    """Many keys and blocks are shuffled in passes, none of which holds most rows; what is removed stays the same."""
+    from weftline.llm import linking
+
+    rnd = random.Random(11)
+    lines = ["".join(rnd.choices("abcdefghij ", k=rnd.choice([30, 60, 90, 120]))) for _ in range(80)]
+    texts = ["\n".join((x + rnd.choice("xyz") if rnd.random() < 0.5 else x) for x in rnd.choices(lines, k=6)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def removed():
+        return sorted(tuple(r) for r in line_dedup.duplicate_lines(docs).select("doc_id", "line_no").collect())
+
+    expected = removed()
+    rows = {"shared": [], "line-links": []}
+
+    def recorded(df, name):
+        out = common.written(df, name)
+        if name in rows:
+            rows[name].append(out.count())
+        return out
+
+    for module in (line_dedup, linking):
+        monkeypatch.setattr(module, "written", recorded)
+    # no rounds of heads, so that blocks are left
+    monkeypatch.setattr(line_dedup, "link", lambda members, confirm, links: linking.link(members, confirm, links, rounds=0))
+    monkeypatch.setattr(line_dedup, "PASS_KEYS", 10)
+    monkeypatch.setattr(line_dedup, "PASS_ROWS", 10)
+    assert removed() == expected
+    for name, counts in rows.items():
+        assert len(counts) == line_dedup.PASSES and 0 < max(counts) < sum(counts) / 2, (name, counts)
