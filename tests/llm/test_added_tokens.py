@@ -18,3 +18,15 @@ def test_ids_are_those_of_the_unmodified_library(name, kept):
     want = [e.ids + [7] for e in library.encode_batch(texts, add_special_tokens=False)]
     assert counts.tolist() == [len(w) for w in want]
     assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_encoders_are_freed_for_operators_without_them():
+    from weftline.llm import common, word_tokens
+
+    path = word_tokens.tokenizer_path(word_tokens.WORD_BPE)
+    first = word_tokens.encoder(path, False)
+    ids = first.encode(["a line of text", ""], 2)
+    common.encoders_freed()
+    assert not word_tokens._OPEN
+    again = word_tokens.encoder(path, False)
+    assert again is not first and all((x == y).all() for x, y in zip(ids, again.encode(["a line of text", ""], 2), strict=True))

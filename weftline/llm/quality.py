@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftline.llm.common import fold, spread_sample
+from weftline.llm.common import encoders_freed, fold, spread_sample
 
 #: Trusted positives, and unlabelled documents, that the model is fitted on.
 POSITIVES, UNLABELLED = 3000, 6000
@@ -211,6 +211,7 @@ def score(docs: DataFrame, network: Network | None, into: str = "score") -> Data
 
     @arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoders_freed()
         own = shared.value
         for texts in batches:
             found = np.full(len(texts), 0.5) if own is None or not len(texts) else own.score(_stack(t.as_py() for t in texts))

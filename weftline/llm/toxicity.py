@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftline.llm.common import fold, forget, passes, spread_sample, written
+from weftline.llm.common import encoders_freed, fold, forget, passes, spread_sample, written
 
 ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 20
@@ -190,6 +190,7 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
 
     @arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoders_freed()
         own = shared.value
         for texts in batches:
             yield pa.array([own.score(t.as_py()) for t in texts], pa.float64())
