@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -278,3 +279,56 @@ def test_lines_in_passes(spark, monkeypatch):
     assert removed() == expected
     for name, counts in rows.items():
         assert len(counts) == line_dedup.PASSES and 0 < max(counts) < sum(counts) / 2, (name, counts)
+
+
+def test_lines_are_fetched_and_compared_in_passes(spark, monkeypatch):
+    """Keys and texts beyond a broadcast are fetched in passes, and passes of blocks grow in number with their rows; what is removed stays the same."""
+    from weftline.llm import linking
+
+    rnd = random.Random(12)
+    lines = ["".join(rnd.choices("abcdefghij ", k=rnd.choice([30, 60, 90, 120]))) for _ in range(60)]
+    texts = ["\n".join((x + rnd.choice("xyz") if rnd.random() < 0.5 else x) for x in rnd.choices(lines, k=6)) for _ in range(50)]
+    # rows of one doc_id with other texts, repeated rows, and rows without text or id
+    rows = [(k // 2, t) for k, t in enumerate(texts)] + [(3, texts[6]), (60, None), (61, ""), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def left():
+        return sorted(map(repr, line_dedup.dedup_lines(docs).collect()))
+
+    counts = {"lines-keys": [], "lines-texts": [], "line-links": [], "blocks": []}
+
+    def recorded(df, name):
+        out = common.written(df, name)
+        if name in counts:
+            counts[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "link", lambda members, confirm, links: linking.link(members, confirm, links, rounds=0))
+    expected = left()
+    for module in (line_dedup, linking):
+        monkeypatch.setattr(module, "written", recorded)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 10, raising=False)
+    monkeypatch.setattr(line_dedup, "PASS_ROWS", 10)
+    monkeypatch.setattr(line_dedup, "MOST_ROWS", 300, raising=False)
+    assert left() == expected
+    for name in ("lines-keys", "lines-texts"):
+        assert len(counts[name]) == line_dedup.PASSES and 0 < max(counts[name]) < sum(counts[name]) / 2, (name, counts)
+    assert sum(counts["lines-keys"]) == sum(counts["lines-texts"])
+    assert len(counts["line-links"]) == -(-counts["blocks"][0] // 300) > line_dedup.PASSES, counts
+
+
+def test_shuffles_end_with_their_query(spark, tmp_path):
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (files.apply(k) for k in range(files.size())) if f.getName().endswith(".data")}
+
+    before = held()
+    with common.shuffles_dropped(spark):
+        spark.range(1000).selectExpr("id % 10 as a").groupBy("a").count().write.parquet(str(tmp_path / "counts"))
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before
+    assert spark.conf.get(common._CLEANUP, None) is None
+    assert spark.read.parquet(str(tmp_path / "counts")).count() == 10
