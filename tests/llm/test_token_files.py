@@ -93,3 +93,21 @@ def test_a_stretch_takes_little_memory():
     held, _ = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert held < 100 * len(words)
+
+
+def test_regular_texts_are_cut_all_at_once():
+    """A text without runs of white space costs no string a stretch: only those not met before are cut out one by one."""
+    own, library = WordTokens(tokenizer_path(BYTE_BPE), True), Tokenizer.from_file(tokenizer_path(BYTE_BPE))
+    texts = ["Two words, \u00e9t\u00e9's 12.\nA line", "", " a ", "x\x00 x " + "y" * 40]
+    own.stretches = None  # the cut of one text
+    ids, counts = own.encode(texts, 7)
+    want = [e.ids + [7] for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_other_white_space_before_a_space():
+    own, library = WordTokens(tokenizer_path(BYTE_BPE), True), Tokenizer.from_file(tokenizer_path(BYTE_BPE))
+    texts = [" \u65e5\u672c\u8a9e \xa0 \xa0", "a\xa0 \xa0 \xa0 b", "a\t \t \t", "a\xa0\n", "a\xa0 b \xa0c"]
+    ids, _ = own.encode(texts, 7)
+    assert ids.tolist() == [i for e in library.encode_batch(texts, add_special_tokens=False) for i in (*e.ids, 7)]

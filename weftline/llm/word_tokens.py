@@ -22,9 +22,9 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Stretches that a worker remembers; beyond, it starts anew.
 REMEMBERED = 1_200_000
-#: Neighbours that make a run of white space; so does other white space after a line feed.
+#: Neighbours that make a run of white space; so does other white space after a line feed, or before that or a space.
 _RUNS = ("  ", " \n", "\n ", "\n\n")
-_RUN_AFTER = re.compile(r"\n[^\S \n]")
+_RUN_AFTER = re.compile(r"[^\S ](?:(?<=\n)[^\S \n]|(?<!\n)[ \n])")
 #: White space as Unicode defines it, inside a character class.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Stretches of characters that normalisation keeps (but for case) and that both sides class alike: letters, signs and digits below U+0250.
